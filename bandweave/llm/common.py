@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Separators of words in all contracts: space and the bytes 0x09 to 0x0D.
@@ -64,3 +64,16 @@ def n_words(text: Column) -> Column:
 
 def total(df: DataFrame, column: Column) -> int:
     return int(df.agg(F.coalesce(F.sum(column), F.lit(0)).alias("n")).first().n)
+
+
+def prefix_sums(sums: DataFrame, groups: list[str], index: str, value: str, out: str, width: int = 1024) -> DataFrame:
+    """sums, one row for each (groups, index), with `out`: the sum of `value` over the rows of the group with
+    a smaller index. In two levels: within runs of `width` indices, then over the totals of the runs, so no
+    task sorts more than a run or the runs of one group."""
+    run = F.floor(F.col(index) / F.lit(width))
+    runs = sums.groupBy(*groups, run.alias("__run")).agg(F.sum(value).alias("__in_run"))
+    before = Window.partitionBy(*groups).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__before", F.coalesce(F.sum("__in_run").over(before), F.lit(0))).drop("__in_run")
+    within = Window.partitionBy(*groups, "__run").orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
+    each = sums.withColumn("__run", run).join(runs, [*groups, "__run"])
+    return each.withColumn(out, F.col("__before") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("__run", "__before")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandweave.llm import quality_rules
+from bandweave.llm import mixing, quality_rules, sharding
 from bandweave.llm.common import table
 
 
@@ -12,5 +12,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules,)}
-ORACLES: dict[str, str] = {}
+def op5_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_two_pass_shards, op9_quality_rules, op10_source_mix)}
+#: Only what SQL can express on whole tables.
+ORACLES: dict[str, str] = {"op10_source_mix": mixing.ORACLE}
