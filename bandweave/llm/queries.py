@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandweave.llm import mixing, quality_rules, sharding
+from bandweave.llm import mixing, packing, quality_rules, sharding
 from bandweave.llm.common import table
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -20,6 +24,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_two_pass_shards, op9_quality_rules, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op5_two_pass_shards, op8_best_fit_packing, op9_quality_rules, op10_source_mix)}
 #: Only what SQL can express on whole tables.
 ORACLES: dict[str, str] = {"op10_source_mix": mixing.ORACLE}
