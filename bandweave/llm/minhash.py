@@ -269,6 +269,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
     return member.select("doc_id", "n", "node").join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, *, broadcast_rows: int = 200_000, **options) -> DataFrame:
+    """One row of docs, all columns, for each group of near duplicates: that of the smallest doc_id."""
+    found = written(near_duplicates(docs, broadcast_rows=broadcast_rows, **options), "near-duplicates")
+    sized = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    repeated = written(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    out = docs.join(sized(written(found.where("not kept").select("doc_id").distinct(), "dropped")), "doc_id", "left_anti")
+    if not repeated.isEmpty():
+        repeated = sized(repeated)
+        out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*docs.columns)
+
+
 #: The same rows in DuckDB's SQL for shingles of 3 words and 85 %.
 ORACLE = """
 with recursive words as (

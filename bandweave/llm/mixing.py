@@ -67,6 +67,11 @@ def mix(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: int = 3, ra
     return placed.select(*(c for c in docs.columns if c not in ADDED), *ADDED, "copies")
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mix, all columns of docs, each document as often as the mix takes it whole."""
+    return mix(docs, **options).withColumn("_copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), "copies")))).select(*docs.columns)
+
+
 def mix_digests(docs: DataFrame, **options) -> DataFrame:
     """The mix without the texts."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")

@@ -99,35 +99,38 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def judged(column: pa.Array, ratio: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), base_failed, score and kept of some texts."""
+    n, bins = len(column), len(ratio)
+    out, score = np.zeros((5, n), np.int64), np.zeros(n)
+    for t in W.texts(column):
+        rows = slice(t.first, t.first + len(t))
+        h = W.hashed(t.data, t.starts, t.ends)
+        doc = np.repeat(np.arange(len(t)), np.diff(t.words))
+        point = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])  # code points before each byte
+        out[0, rows] = np.diff(t.words)
+        out[1, rows] = np.bincount(doc, weights=point[t.ends] - point[t.starts], minlength=len(t))
+        out[2, rows] = np.diff(np.concatenate([[0], np.cumsum(SYMBOL[t.data])])[t.at])
+        at, owner = ngram_bins(t, bins)
+        grams = np.bincount(owner, minlength=len(t))
+        score[rows] = np.bincount(owner, weights=ratio[at.astype(np.int64)], minlength=len(t)) / np.maximum(grams, 1)
+        for i in range(len(t)):
+            if t.words[i + 1] > t.words[i]:
+                text = t.text(i)
+                out[3, t.first + i] = repeated_lines(text) if b"\n" in text else 0
+                out[4, t.first + i] = repeated(h[t.words[i] : t.words[i + 1]], 5)
+    failed = (out[0] < 10) | (100 * out[4] > 20 * out[0])
+    return out, failed, score, ~failed & (score >= threshold)
+
+
 def scored(docs: DataFrame, ratios: np.ndarray, threshold: float) -> DataFrame:
     """SCHEMA's columns for every row of docs (doc_id, text)."""
-    bins, shared = len(ratios), docs.sparkSession.sparkContext.broadcast(ratios)
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def make():
-        ratio = shared.value
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n = batch.num_rows
-            out, score = np.zeros((5, n), np.int64), np.zeros(n)
-            for t in W.texts(batch.column("text")):
-                rows = slice(t.first, t.first + len(t))
-                h = W.hashed(t.data, t.starts, t.ends)
-                doc = np.repeat(np.arange(len(t)), np.diff(t.words))
-                point = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])  # code points before each byte
-                out[0, rows] = np.diff(t.words)
-                out[1, rows] = np.bincount(doc, weights=point[t.ends] - point[t.starts], minlength=len(t))
-                out[2, rows] = np.diff(np.concatenate([[0], np.cumsum(SYMBOL[t.data])])[t.at])
-                at, owner = ngram_bins(t, bins)
-                grams = np.bincount(owner, minlength=len(t))
-                score[rows] = np.bincount(owner, weights=ratio[at.astype(np.int64)], minlength=len(t)) / np.maximum(grams, 1)
-                for i in range(len(t)):
-                    if t.words[i + 1] > t.words[i]:
-                        text = t.text(i)
-                        out[3, t.first + i] = repeated_lines(text) if b"\n" in text else 0
-                        out[4, t.first + i] = repeated(h[t.words[i] : t.words[i + 1]], 5)
-            failed = (out[0] < 10) | (100 * out[4] > 20 * out[0])
-            columns = [batch.column("doc_id"), *map(pa.array, out), pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))]
-            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
+            out, failed, score, kept = judged(batch.column("text"), shared.value, threshold)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (*out, failed, score, kept))], [x.split()[0] for x in SCHEMA.split(", ")])
 
         return step
 
@@ -173,3 +176,17 @@ def judge_documents(docs: DataFrame, labels: DataFrame, *, bins: int = 1 << 16,
         raise ValueError("bins must be a power of two")
     ratios, threshold = fit(docs, labels, bins, sample, cost, seed)
     return scored(docs, ratios, threshold)
+
+
+def keep_documents(docs: DataFrame, labels: DataFrame, *, bins: int = 1 << 16, sample: int = 20_000, cost: float = 20.0, seed: int = 7) -> DataFrame:
+    """The rows of docs, all columns, that judge_documents() keeps; the texts move nowhere."""
+    ratios, threshold = fit(docs, labels, bins, sample, cost, seed)
+    shared, at = docs.sparkSession.sparkContext.broadcast(ratios), docs.columns.index("text")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array(judged(batch.column(at), shared.value, threshold)[3]))
+
+        return step
+
+    return map_arrow(docs, make, docs.schema)
