@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandweave.llm import minhash, mixing, packing, pii, quality_rules, sharding
+from bandweave.llm import html_text, minhash, mixing, packing, pii, quality_rules, sharding
 from bandweave.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(docs, pii.TRIAL_KEY)
 
 
+def op4_html_min_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digests(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_pii_pseudonyms, op5_two_pass_shards, op8_best_fit_packing, op9_quality_rules, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_pii_pseudonyms, op4_html_min_cut, op5_two_pass_shards, op8_best_fit_packing, op9_quality_rules, op10_source_mix)}
 #: Only what SQL can express on whole tables.
 ORACLES: dict[str, str] = {"op2_minhash_near_dedup": minhash.ORACLE, "op10_source_mix": mixing.ORACLE}
