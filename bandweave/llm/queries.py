@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bandweave.llm import html_text, minhash, mixing, mtree, packing, pii, quality_rules, sharding
+from bandweave.llm import html_text, language, minhash, mixing, mtree, packing, pii, quality_rules, sharding
 from bandweave.llm.common import table
 
 
+def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op7_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.search(table(spark, sf_dir, "embeddings"))
 
@@ -41,6 +45,6 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_pii_pseudonyms, op4_html_min_cut, op5_two_pass_shards, op7_mtree_top_k, op8_best_fit_packing, op9_quality_rules, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_pii_pseudonyms, op4_html_min_cut, op5_two_pass_shards, op6_language_crf, op7_mtree_top_k, op8_best_fit_packing, op9_quality_rules, op10_source_mix)}
 #: Only what SQL can express on whole tables.
 ORACLES: dict[str, str] = {"op2_minhash_near_dedup": minhash.ORACLE, "op7_mtree_top_k": mtree.ORACLE, "op10_source_mix": mixing.ORACLE}
