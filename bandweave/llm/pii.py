@@ -12,7 +12,8 @@ into 0..N-1; P is used as P^-1(P(x) + s), a single cycle of a keyed step, so no
 Formats: e-mail addresses (letters and digits of the local part), telephone numbers (North American ones with valid
 area and exchange codes; others with + and 8 to 15 digits, whose country code stays), payment cards (13 to 19 digits,
 plain or in groups, Luhn), IPv4 addresses, US social security numbers, IBANs, and dates from 1900 to 2099 as
-yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy or dd/mm/yyyy. Other text is left byte for byte.
+yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy or dd/mm/yyyy (numbers under 10 with a zero before all of them or none; of others
+only the day is restored). Other text is left byte for byte.
 
 Cases: a null text stays null, an empty one empty. Rows that repeat are treated alike. An empty table gives
 an empty result. pseudonymised() keeps all other columns; its counts replace columns of the same names.
@@ -165,6 +166,8 @@ class Pseudonyms:
             if not v.startswith("+") or not country or not 8 <= len(digits) <= 15:
                 return None
             head = country[1] or country[2]
+            if head == "1":
+                return None
             return self._fill(v, head + str(self._number("phone", 10 ** (len(digits) - len(head)), int(digits[len(head) :]))).zfill(len(digits) - len(head)))
         if kind == "iban":
             plain = v.replace(" ", "")
@@ -186,17 +189,20 @@ class Pseudonyms:
                 continue
             if not 0 <= x < DAYS:
                 return None
-            # Notations in which a day could be read two ways have permutations of their own, so each goes back as it came.
-            new = self._in_order(order, mark, x)
-            return mark.join(str({"y": new.year, "m": new.month, "d": new.day}[f]).zfill(len(was)) for f, was in zip(order, fields, strict=True))
+            new = self._day(x, mark == "/" and order == "dmy")
+            plain = any(len(f) == 1 for f in fields)
+            return mark.join(f"{v}" if plain else f"{v:02}" for v in ({"y": new.year, "m": new.month, "d": new.day}[f] for f in order))
         return None
 
-    def _in_order(self, order: str, mark: str, x: int) -> date:
-        day = x
+    def _day(self, x: int, day_first: bool) -> date:
+        """The permutation of days, walked on to one that reads back as this does: with two digits both in day and month or
+        not, and with a day over 12 where month first is tried before day first."""
+        kind = lambda d: d.day > 9 and d.month > 9
+        was = kind(date.fromordinal(FIRST_DAY + x))
         while True:
-            day = self._number("date", DAYS, day)
-            new = date.fromordinal(FIRST_DAY + day)
-            if not (mark == "/" and order == "dmy" and new.day <= 12):  # else it would be read as month first
+            x = self._number("date", DAYS, x)
+            new = date.fromordinal(FIRST_DAY + x)
+            if kind(new) == was and not (day_first and new.day <= 12):
                 return new
 
     def text(self, text: str, found: Counter) -> str:

@@ -1,0 +1,92 @@
+import re
+from collections import Counter
+from datetime import date
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from bandweave.llm import pii as P
+
+KEY = b"a key"
+
+
+def one(text, key=KEY, back=False):
+    found = Counter()
+    return P.Pseudonyms(key, back).text(text, found), found
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 7305])
+def test_permutation(n):
+    p = P.Permutation(KEY, "x", n)
+    image = [p(i) for i in range(n)]
+    assert sorted(image) == list(range(n)) and [p(i, True) for i in image] == list(range(n))
+    assert n == 1 or all(i != v for i, v in enumerate(image))
+    if n > 100:
+        assert image != [P.Permutation(b"other", "x", n)(i) for i in range(n)] and image != [P.Permutation(KEY, "y", n)(i) for i in range(n)]
+
+
+VALUES = [
+    ("kfslg.71@mail0.example.com", "email", r"[a-z]{5}\.\d\d@mail0\.example\.com"), ("A_b-9+x@a.co", "email", r"[A-Z]_[a-z]-\d\+[a-z]@a\.co"),
+    ("+1 (578) 555-6437", "phone", r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}"), ("578-555-6437", "phone", r"[2-9]\d\d-[2-9]\d\d-\d{4}"), ("+44 20 7946 0958", "phone", r"\+44 \d\d \d{4} \d{4}"),
+    ("4918187128635271", "card", r"4\d{15}"), ("4111 1111 1111 1111", "card", r"4\d{3} \d{4} \d{4} \d{4}"), ("3782-822463-10005", "card", r"3\d{3}-\d{6}-\d{5}"),
+    ("50.234.85.130", "ip", r"(\d{1,3}\.){3}\d{1,3}"), ("123-45-6789", "ssn", r"\d{3}-\d\d-\d{4}"),
+    ("GB82 WEST 1234 5698 7654 32", "iban", r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d"), ("DE89370400440532013000", "iban", r"DE\d{20}"),
+    ("2024-02-29", "date", r"\d{4}-\d\d-\d\d"), ("29.02.2024", "date", r"\d\d\.\d\d\.\d{4}"), ("2/29/2024", "date", r"\d{1,2}/\d\d/\d{4}|\d{1,2}/\d{1,2}/\d{4}"), ("31/12/1999", "date", r"\d\d/\d\d/\d{4}"),
+]
+
+
+@pytest.mark.parametrize(("value", "kind", "form"), VALUES)
+def test_formats(value, kind, form):
+    for text in (value, f"see {value}, and ({value}) é", f"{value}\n{value}"):
+        new, found = one(text)
+        assert value not in new and found[kind] == text.count(value) == found.total()
+        parts = {x for x in re.findall(form, new)} if "(" not in form else {re.search(form, new)[0]}
+        assert len(parts) == 1
+        assert one(new, back=True)[0] == text
+        assert one(text)[0] == new and one(text, b"other key")[0] != new
+
+
+def test_results_are_valid():
+    cards = {one(f"{p}{P.luhn_digit(p)}")[0] for p in (f"4{i:014}" for i in range(300))}
+    assert len(cards) == 300 and all(P.luhn_digit(c[:-1]) == c[-1] for c in cards)
+    days = [date.fromordinal(P.FIRST_DAY + i * 61) for i in range(1000)]
+    new = [one(d.isoformat())[0] for d in days]
+    assert len(set(new)) == 1000 and all(1900 <= date.fromisoformat(x).year < 2100 for x in new)
+    assert one("29.02.2024")[0].split(".")[::-1] == one("2024-02-29")[0].split("-")  # one day in two notations
+    assert P.iban_rest(one("DE89370400440532013000")[0]) == 1
+
+
+CLEAN = ["", "no data here", "4918187128635272", "1234567890123456", "999.1.1.1", "1.2.3", "Version 2.0.", "2023-02-29", "31.13.2020", "000-12-3456", "666-12-3456", "GB82WEST12345698765431", "x4918187128635271", "49181871286352719", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "a@b", "1850-01-01", "1/2", "3.14159265358979", "+1 (178) 555-6437"]
+
+
+@pytest.mark.parametrize("text", CLEAN)
+def test_clean_text_stays(text):
+    assert one(text) == (text, Counter())
+
+
+def test_values_side_by_side():
+    text = "kfslg.71@mail0.example.com +1 (578) 555-6437 4918187128635271 1.2.3.4 12 4918187128635271 999 4918187128635271"
+    new, found = one(text)
+    assert found == {"email": 1, "phone": 1, "card": 3, "ip": 1} and "4918187128635271" not in new and one(new, back=True)[0] == text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="0123456789.-/@ ab+()é\n", max_size=80))
+def test_restores_any_text(text):
+    new, found = one(text)
+    if not found:
+        assert new == text
+    assert not re.sub(r"[\d A-Za-z]", "", new) != re.sub(r"[\d A-Za-z]", "", text)
+
+
+def test_tables(odd_documents, documents):
+    docs = documents([(1, "call +1 (578) 555-6437"), (2, "clean"), (3, "+1 (578) 555-6437 again"), (4, None), (5, "")])
+    got = {r.doc_id: r for r in P.pseudonymised(docs, KEY).collect()}
+    assert got[1].text[5:] == got[3].text[:17] and (got[1].n_phone, got[2].n_phone) == (1, 0)
+    assert (got[2].text, got[4].text, got[5].text) == ("clean", None, "")
+    assert {r.doc_id: r.text for r in P.restore(P.pseudonymised(docs, KEY), KEY).collect()} == {r.doc_id: r.text for r in docs.collect()}
+    out = P.stage(odd_documents, KEY)
+    assert out.columns == odd_documents.columns and sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, odd_documents.select("doc_id", "text").collect()))
+    assert P.pseudonymised(odd_documents.limit(0), KEY).count() == 0
+    assert P.pseudonymised(docs.withColumnRenamed("kept", "n_card"), KEY).columns.count("n_card") == 1
