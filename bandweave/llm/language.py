@@ -66,7 +66,7 @@ def features(t: W.Texts, lexicon: np.ndarray) -> Features:
     data = np.where(W.IS_WORD[t.data], t.data, np.uint8(32))
     grams = []
     for n, bits in NGRAMS.items():
-        last = np.maximum(t.ends + 2 - n, t.starts)  # n-grams that begin from the space before on and end with that behind
+        last = np.maximum(t.ends + 2 - n, t.starts - 1)  # n-grams that begin from the space before on and end with that behind
         grams.append((_bins(_codes(data, n), bits, n), t.starts - 1, last))
     three = _codes(data, 3) if len(data) else np.empty(0, U32)
     size = t.ends - t.starts
