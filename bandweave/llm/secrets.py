@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|ya29\\.|eyJ|SG\\.|npm_|pypi-"
 NAMES = "passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer"
 CANDIDATE = (
-    f"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_.-]{{16}})(?:(?:{PREFIXES})[A-Za-z0-9_.-]{{12,}}|(?=[A-Za-z+/_-]{{0,200}}[0-9])[A-Za-z0-9+/_-]{{16,}}={{0,2}})"
-    f"|(?<=[=:])(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)[=:])[\"']?[^\\s\"'<>]{{6,}}"
+    f"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_.-]{{16}})(?:(?:{PREFIXES})[A-Za-z0-9_.-]{{11,}}[A-Za-z0-9_-]|(?=[A-Za-z+/_-]{{0,200}}[0-9])[A-Za-z0-9+/_-]{{16,}}={{0,2}})"
+    f"|(?<=[=:])(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)[=:])[\"']?[^\\s\"'<>]{{5,}}[^\\s\"'<>.,;:?)]"
 )
 #: Words that make up placeholders and identifiers rather than keys.
 DICTIONARY = "your|here|example|sample|test|dummy|fake|change|me|placeholder|password|passwd|secret|token|key|api|user|name|admin|default|none|null|todo|xxx+|abc|123456?7?8?9?0?|qwerty|value|string|insert|config|controller|service|manager|account|handler|factory|package|release|download|version|linux|windows|image|data|file|path|index|table|column|client|server|request|response|http|https|www|com|org|the|and|with|for|from|this|that"
