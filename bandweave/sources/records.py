@@ -70,7 +70,7 @@ def filter_l2_bnci(column: str = "value") -> Column:
 
 def epoch_ms(ts: str) -> Column:
     """Milliseconds of a zone-less timestamp, whatever the session's time zone."""
-    return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
+    return F.expr(f"(cast({ts} as timestamp_ntz) - TIMESTAMP_NTZ'1970-01-01 00:00:00') div INTERVAL '0.001' SECOND")
 
 
 def events(spark: SparkSession, sf_dir: str, kind: str | None = None, key: str = "value") -> DataFrame:

@@ -41,6 +41,17 @@ def test_day_numbers(spark):
     assert (row.source, row.key, row.payload) == ("L", "1", line()) and int(row.ts) > 1_600_000_000_000
 
 
+def test_epoch_ms_ignores_the_time_zone(spark):
+    df = spark.sql("select TIMESTAMP_NTZ'2024-07-01 00:00:07.179575' as ts")
+    was = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert df.select(records.epoch_ms("ts").alias("t")).first().t == 1719792007179
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
 def test_kafka_options():
     assert kafka.source_options("h:1", kafka.TOPIC_R)["startingOffsets"] == "latest"
     assert kafka.source_options("h:1", kafka.TOPIC_R, offsets="earliest")["startingOffsets"] == "earliest"
