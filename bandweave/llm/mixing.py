@@ -42,7 +42,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3)
     return ranked.withColumn("target", F.coalesce(level, F.col("_cap").cast("double"))).withColumn("budget", F.floor("target")).select("source", "source_size", "target", "budget")
 
 
-def mix(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: int = 3, range_rows: int = 4096, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: int = 3, range_rows: int = 512, seed: str = "mix") -> DataFrame:
     """docs with size (words), source_size, target, taken (words, all epochs together) and copies: how
     often the mix takes the document as a whole, where the one at the cut counts if half of it or more is
     before the cut. range_rows: about how many documents of a source are sorted together."""
