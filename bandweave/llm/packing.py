@@ -116,7 +116,7 @@ def sweep(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(placed, np.int64).reshape(-1, 5)
 
 
-def ranked(pieces: DataFrame, range_rows: int = 4096) -> DataFrame:
+def ranked(pieces: DataFrame, range_rows: int = 512) -> DataFrame:
     """pieces with _rank, from 0, among those of the same length."""
     most = pieces.groupBy("length").count().agg(F.max("count").alias("n")).first().n or 0
     ranges = max(1, -(-most // range_rows))
