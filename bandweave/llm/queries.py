@@ -8,22 +8,6 @@ from bandweave.llm import html_text, language, minhash, mixing, mtree, packing,
 from bandweave.llm.common import table
 
 
-def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify_held_out(table(spark, sf_dir, "documents"))
-
-
-def op7_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mtree.search(table(spark, sf_dir, "embeddings"))
-
-
-def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
-
-
-def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-
-
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -45,10 +29,29 @@ def op5_two_pass_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(table(spark, sf_dir, "documents"))
+
+
+def op7_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.search(table(spark, sf_dir, "embeddings"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_minhash_near_dedup, op3_pii_pseudonyms, op4_html_min_cut, op5_two_pass_shards, op6_language_crf, op7_mtree_top_k, op8_best_fit_packing, op9_quality_rules, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op2_minhash_near_dedup, op3_pii_pseudonyms, op4_html_min_cut, op5_two_pass_shards,
+    op6_language_crf, op7_mtree_top_k, op8_best_fit_packing, op9_quality_rules, op10_source_mix,
+)}
 #: Only what SQL can express on whole tables.
 ORACLES: dict[str, str] = {"op2_minhash_near_dedup": minhash.ORACLE, "op7_mtree_top_k": mtree.ORACLE, "op10_source_mix": mixing.ORACLE}
