@@ -28,6 +28,11 @@ def input_rate(tagged: DataFrame, period_ms: int = 1000) -> DataFrame:
     return tagged.groupBy(period.alias("period")).agg(F.count_if(F.col("side") == "R").alias("r_rate"), F.count_if(F.col("side") == "S").alias("s_rate"))
 
 
+def observed_rates(tagged: DataFrame, name: str = "rates") -> DataFrame:
+    """tagged, with the counts of both sides as observed metrics of its runs (of each micro-batch for streams)."""
+    return tagged.observe(name, F.count_if(F.col("side") == "R").alias("r"), F.count_if(F.col("side") == "S").alias("s"))
+
+
 def rate_sum(rates: DataFrame) -> DataFrame:
     """Rates of all routers together."""
     return rates.agg(F.sum("r_rate").alias("r_rate"), F.sum("s_rate").alias("s_rate"))

@@ -40,6 +40,21 @@ def tagged_union(r: DataFrame, s: DataFrame) -> DataFrame:
     return r.withColumn("side", F.lit("R")).unionByName(s.withColumn("side", F.lit("S")))
 
 
+def shuffled(tuples: DataFrame, routers: int = ROUTERS) -> DataFrame:
+    """Tuples dealt to the routers at random."""
+    return tuples.repartition(routers)
+
+
+def by_key(tuples: DataFrame, routers: int = ROUTERS, key: str = "key") -> DataFrame:
+    """Tuples of one key to one router."""
+    return tuples.repartition(routers, key)
+
+
+def by_node(routed: DataFrame, scheme: MatrixScheme) -> DataFrame:
+    """Routed tuples with their worker as partition."""
+    return routed.repartitionById(scheme.r_nodes + scheme.s_nodes, F.col("node").cast("int"))
+
+
 def with_serial(df: DataFrame, order: str, router: Column, modulus: int | None = None) -> DataFrame:
     """The serial number of each tuple at its router and side, from 1, optionally modulo."""
     number = F.row_number().over(Window.partitionBy("side", "router").orderBy(order)).cast("long")
