@@ -22,9 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = _state(now)
     while state[0]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large-star")
+        # Large-star: the larger end of an edge goes to the least neighbour of the smaller end. Where this is the least
+        # of its own neighbourhood, as the centre of a star is, it has no smaller neighbour and the edge stays.
+        least = written(now.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")), "least")
+        large = written(now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct(), "large-star")
+        dropped(least)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = written(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
