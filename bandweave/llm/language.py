@@ -34,6 +34,8 @@ AFFIX_BITS = 13
 ASCII_LETTER = np.zeros(256, bool)
 ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 LEXICON = 500
+#: Bytes of text whose words move through the chain together; more take fewer steps.
+STEP = 4 << 20
 
 
 def _codes(data: np.ndarray, n: int) -> np.ndarray:
@@ -229,7 +231,7 @@ def predicted(column: pa.Array, model: Model, runs: bool = False) -> tuple[list[
     lang, score, found = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
     if not model.languages:
         return lang, score, found
-    for t in W.texts(padded(column)):
+    for t in W.texts(padded(column), step=STEP):
         letters = np.concatenate([[0], np.cumsum(ASCII_LETTER[t.data] | (t.data >= 0x80))])
         spelled = letters[t.ends] > letters[t.starts]
         chance = forward_backward(model.emissions(features(t, model.lexicon)), t.words, model)

@@ -3,7 +3,8 @@
 1. Every text becomes the set of its word shingles (64-bit hashes), and the set a signature: one permutation
    scatters the shingles, a second one, shifted round its circle by k, gives coordinate k. Bands of
    coordinates are bucket keys. As many bands are taken as leave a pair at the threshold without a common
-   bucket with probability `miss`.
+   bucket with probability `miss`. `rows`, the coordinates of a band, is what to raise for corpora of billions:
+   unlike texts of similarity s share a bucket with probability s**rows each, at the price of more bands.
 2. Texts with equal sets become one node. In each bucket with several nodes one is the pivot, and the exact
    similarity of the others to it is taken. Jaccard distance is a metric: a node that is linked with one of
    similarity s to the pivot has s - (1 - threshold) or more itself. So nodes of `near` - (1 - threshold) or more join
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandweave.llm import words as W
-from bandweave.llm.common import map_arrow, written
+from bandweave.llm.common import in_arrow, map_arrow, written
 from bandweave.llm.components import components
 
 U64, U32 = np.uint64, np.uint32
@@ -245,10 +246,10 @@ def links(clusters: DataFrame, sets: DataFrame, percent: int, block: int, block_
             finish()
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return in_arrow(dealt, run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-7, near: int = 40, rounds: int = 2, block: int = 512, block_shingles: int = 400_000, broadcast_rows: int = 200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-7, near: int = 40, rounds: int = 2, block: int = 256, block_shingles: int = 400_000, broadcast_rows: int = 200_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept). width: words of a shingle; percent: the least Jaccard
     similarity of a link; the rest is in the module's description."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.assert_true(F.col("doc_id").isNotNull()).isNull())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandweave.llm.common import map_arrow, written
+from bandweave.llm.common import in_arrow, map_arrow, written
 
 SLACK = 1e-6  # of rounding, on distances
 
@@ -222,7 +222,7 @@ def search(table: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64.
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("ids", "v", "far", "floor", "skip"))], ["node", "ids", "v", "far", "floor", "skip"])
 
-        sent = asked.mapInArrow(blocks, "node int, ids binary, v binary, far binary, floor binary, skip binary")
+        sent = in_arrow(asked, blocks, "node int, ids binary, v binary, far binary, floor binary, skip binary")
         groups = max(1, -(-asked_rows // group))
         sent = sent.withColumn("group", F.pmod(F.xxhash64("node", "ids"), F.lit(groups)).cast("int")).withColumn("page", F.explode(F.sequence(F.lit(0), counts - 1)))
         there = paged.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups > 1 else paged.withColumn("group", F.lit(0))

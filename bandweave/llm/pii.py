@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bandweave.llm.common import in_arrow, parts
+
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "date")
 COUNTS = tuple(f"n_{k}" for k in KINDS)
 ROUNDS = 10
@@ -232,7 +234,7 @@ def pseudonymised(docs: DataFrame, key: bytes, back: bool = False, column: str =
 
     def run(batches):
         make = Pseudonyms(key, back)
-        for batch in batches:
+        for batch in parts(batches):
             texts, counts = [], [Counter() for _ in range(batch.num_rows)]
             for value, count in zip(batch.column(at), counts, strict=True):
                 value = value.as_py()
@@ -241,7 +243,7 @@ def pseudonymised(docs: DataFrame, key: bytes, back: bool = False, column: str =
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([c[k] for c in counts], pa.int64()) for k in KINDS)], [*names, *COUNTS])
 
-    return kept.mapInArrow(run, schema)
+    return in_arrow(kept, run, schema)
 
 
 def restore(docs: DataFrame, key: bytes, column: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandweave.llm import words as W
-from bandweave.llm.common import map_arrow
+from bandweave.llm.common import in_arrow, map_arrow, parts
 
 U64 = np.uint64
 SYMBOL = np.zeros(256, bool)
@@ -47,7 +47,7 @@ def ngram_counts(docs: DataFrame, bins: int) -> DataFrame:
 
     def run(batches):
         count = np.zeros((2, bins), np.int64)
-        for batch in batches:
+        for batch in parts(batches):
             trusted = np.asarray(batch.column("trusted").fill_null(False))
             for t in W.texts(batch.column("text")):
                 at, doc = ngram_bins(t, bins)
@@ -57,7 +57,7 @@ def ngram_counts(docs: DataFrame, bins: int) -> DataFrame:
         at = np.flatnonzero(count[0])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[0, at]), pa.array(count[1, at])], ["bin", "raw", "target"])
 
-    each = docs.select("text", "trusted").mapInArrow(run, schema)
+    each = in_arrow(docs.select("text", "trusted"), run, schema)
     return each.groupBy("bin").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 

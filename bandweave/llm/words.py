@@ -17,7 +17,7 @@ U64 = np.uint64
 #: Bytes hashed in one go; longer words are hashed alone.
 SPAN = 1 << 20
 #: Bytes of text that one step works on, unless one text is longer.
-STEP = 4 << 20
+STEP = 1 << 20
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
@@ -96,12 +96,13 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def texts(column: pa.Array, lower: bool = False) -> Iterator[Texts]:
-    """The texts of a column in steps of about STEP bytes."""
+def texts(column: pa.Array, lower: bool = False, step: int | None = None) -> Iterator[Texts]:
+    """The texts of a column in steps of about `step` bytes."""
+    step = step or STEP
     data, at = column_bytes(column)
     i = 0
     while i < len(at) - 1:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + STEP, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(at, at[i] + step, "right")) - 1)
         part, begins = data[at[i] : at[j]], at[i : j + 1] - at[i]
         part = LOWER[part] if lower else part
         inside = np.zeros(len(part) + 2, bool)
