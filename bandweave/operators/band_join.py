@@ -6,7 +6,7 @@ that every matching pair has in common exactly once, and leave the exact predica
 - band_bucket: R is in the bucket of its key, S in the two or three that its band covers;
 - time_bucket: the same over event time;
 - grid: both, the default, since it bounds a bucket by key and by time;
-- matrix: R in one row of cells, S in one column, for any predicate; also as a salt inside buckets;
+- matrix: R in one row of cells, S in one column, in each time bucket, whatever the band; also as a salt inside buckets;
 - equi: the key itself, with time buckets so that a hot key is spread over its time.
 
 Pairs meet in one bucket only, so no distinct is needed and duplicates of input rows multiply as they should.
@@ -57,7 +57,7 @@ def keyed(r: DataFrame, s: DataFrame, spec: BandJoinSpec, strategy: str, cells:
     if strategy in ("band_bucket", "grid"):
         r, s = _buckets(r, s, "_band", F.col("s_key") - F.lit(spec.behind), F.col("s_key") + F.lit(spec.surpass), F.col("r_key"), spec.width or 1.0)
         keys.append("_band")
-    if strategy in ("time_bucket", "grid", "equi"):
+    if strategy in ("time_bucket", "grid", "equi", "matrix"):
         r, s = _buckets(r, s, "_time", F.col("s_ts") - F.lit(spec.r_window), F.col("s_ts") + F.lit(spec.s_window), F.col("r_ts"), max(1, spec.span))
         keys.append("_time")
     if strategy == "matrix" or cells != (1, 1):
