@@ -85,10 +85,6 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
 
 
-def total(df: DataFrame, column: Column) -> int:
-    return int(df.agg(F.coalesce(F.sum(column), F.lit(0)).alias("n")).first().n)
-
-
 def prefix_sums(sums: DataFrame, groups: list[str], index: str, value: str, out: str, width: int = 1024) -> DataFrame:
     """sums, one row for each (groups, index), with `out`: the sum of `value` over the rows of the group with
     a smaller index. In two levels: within runs of `width` indices, then over the totals of the runs, so no

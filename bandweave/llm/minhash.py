@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandweave.llm import words as W
-from bandweave.llm.common import in_arrow, map_arrow, written
+from bandweave.llm.common import dropped, in_arrow, map_arrow, written
 from bandweave.llm.components import components
 
 U64, U32 = np.uint64, np.uint32
@@ -141,8 +141,9 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.select("pivot", "node", "both", (F.col("n") + F.col("_pivot_n") - F.col("both")).alias("either"))
 
 
-def clustered(buckets: DataFrame, sets: DataFrame, percent: int, near: int, rounds: int) -> DataFrame:
-    """buckets (band, node) -> edges (a, b) that hold together all nodes that a bucket's links can join."""
+def clustered(buckets: DataFrame, sets: DataFrame, percent: int, near: int, rounds: int, used: list[DataFrame]) -> DataFrame:
+    """buckets (band, node) -> edges (a, b) that hold together all nodes that a bucket's links can join. used: gets the
+    tables that the edges are read from."""
     edges = None
     for _ in range(rounds):
         pivots = buckets.groupBy("band").agg(F.min("node").alias("pivot"))
@@ -153,6 +154,7 @@ def clustered(buckets: DataFrame, sets: DataFrame, percent: int, near: int, roun
         left = pairs.join(known.where(f"100 * both < {near} * either").select("pivot", "node"), ["pivot", "node"], "left_semi").select("band", "node")
         again = left.groupBy("band").agg(F.min("node").alias("_min"), F.max("node").alias("_max")).where("_min <> _max").select("band")
         buckets = written(left.join(again, "band"), "buckets")
+        used += (known, buckets)
     rest = buckets.join(buckets.groupBy("band").agg(F.min("node").alias("pivot")), "band").where("node <> pivot")
     return edges.union(rest.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
 
@@ -193,8 +195,9 @@ def forest(set_of: list[np.ndarray], side: np.ndarray, percent: int) -> list[tup
     return out
 
 
-def links(clusters: DataFrame, sets: DataFrame, percent: int, block: int, block_shingles: int) -> DataFrame:
-    """clusters (node, cluster) -> edges (a, b) of forests of the links within clusters."""
+def links(clusters: DataFrame, sets: DataFrame, percent: int, block: int, block_shingles: int, used: list[DataFrame]) -> DataFrame:
+    """clusters (node, cluster) -> edges (a, b) of forests of the links within clusters. used: gets the tables that the
+    edges are read from."""
     known = clusters.join(sets.select("node", "n"), "node")
     totals = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("_nodes"), F.sum("n").alias("_all"))
     # Linked sets differ in size by less than the threshold's factor, so by one grade at most.
@@ -203,6 +206,7 @@ def links(clusters: DataFrame, sets: DataFrame, percent: int, block: int, block_
     graded = written(known.join(totals, "cluster").withColumn("grade", F.when(whole, -1).otherwise(grade).cast("int")).select("node", "cluster", "n", "grade"), "graded")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("n") / F.lit(block_shingles))).cast("int")
     counts = written(graded.groupBy("cluster", "grade").agg(blocks.alias("_k")), "grades")
+    used += (graded, counts)
     own = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
     beside = lambda d, name: counts.select("cluster", (F.col("grade") - d).alias("grade"), F.col("_k").alias(name)).where("grade >= -1")
     placed = graded.join(counts, ["cluster", "grade"]).withColumn("own", own)
@@ -263,9 +267,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
     few = wanted.count() <= broadcast_rows
     chosen = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
     sets = written(shingle_sets(chosen, width).dropDuplicates(["node"]), "sets")
-    roots = components(clustered(buckets, sets, percent, near, rounds))
+    used = [buckets, wanted, sets]
+    roots = components(clustered(buckets, sets, percent, near, rounds, used))
     clusters = written(roots.select("node", F.col("root").alias("cluster")).union(roots.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct()), "clusters")
-    found = components(links(clusters, sets, percent, block, block_shingles)).withColumnRenamed("root", "_root")
+    found = components(links(clusters, sets, percent, block, block_shingles, used)).withColumnRenamed("root", "_root")
+    for table in (*used, roots, clusters):  # the result is read from signs, copies and found
+        dropped(table)
     component = F.coalesce("_root", "node")
     return member.select("doc_id", "n", "node").join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 

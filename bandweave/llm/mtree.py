@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandweave.llm.common import in_arrow, map_arrow, written
+from bandweave.llm.common import dropped, in_arrow, map_arrow, written
 
 SLACK = 1e-6  # of rounding, on distances
 
@@ -175,6 +175,7 @@ def search(table: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64.
         return step
 
     leaves = written(map_arrow(data, assign, "vec_id long, v array<double>, node int, far double"), "leaves")
+    dropped(data)
     pages = np.ones(len(tree.at), int)
     for r in leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("least"), F.max("far").alias("most")).collect():  # a row for each router
         tree.least[r.node], tree.most[r.node], pages[r.node] = r.least, r.most, -(-r.n // page_rows)
