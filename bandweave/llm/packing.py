@@ -20,6 +20,7 @@ gives an empty result. Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -34,20 +35,36 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CAPACITY = 2048
 
 
-def encoder(ranks_file: str, pattern: str):
-    """text -> ids, as the tokenizer of the same vocabulary gives without special tokens. Reads the rank
-    file, whose merges run several times faster than the same ones in the json file."""
+#: White space in one run that the rank encoder's pattern can't take (its stack ends near a million).
+LONG_BLANK = re.compile(r"\s{100000}")
+
+
+def encoder(ranks_file: str, pattern: str, json_file: str):
+    """text -> ids, as the tokenizer of json_file gives without special tokens. The rank file has the same
+    vocabulary, and its merges run several times faster; texts with very long white space go to the tokenizer itself."""
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    slow: list[Tokenizer] = []
+
+    def encode(text: str) -> list[int]:
+        if len(text) < 100_000 or not LONG_BLANK.search(text):
+            return fast(text)
+        if not slow:
+            slow.append(Tokenizer.from_file(json_file))
+            slow[0].encode_special_tokens = True
+        return slow[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def default_encoder():
     import public_tokenizers as P
 
-    return encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("byte_bpe_50k.json"))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
