@@ -44,7 +44,8 @@ BOILERPLATE = frozenset("nav footer aside form menu dialog button head".split())
 #: Parts of class, id and role names that mark boilerplate, and those that mark content.
 BOILERPLATE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|complementary|contentinfo|cookies?|consent|copyright|disclaimer|disqus|footer|form|gdpr|hidden|login|masthead|menus?|modal|nav\w*|newsletter|notices?|pagination|pager|popup|promos?|related|repl(?:y|ies)|search|share|sharing|side|sidebars?|sign-?up|social|sponsor\w*|subscribe|tags?|teasers?|toolbar|topbar|widgets?)(?:$|[\s_-])", re.I)
 CONTENT_NAME = re.compile(r"(?:^|[\s_-])(?:article|story|post|entry|main|content|body-?text|article-?body|post-?body)(?:$|[\s_-])", re.I)
-CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+#: Elements that a start tag closes, if they are open inside the nearest fence; and any block closes a paragraph.
+CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 FENCE = frozenset("ul ol dl table div section article main aside nav body".split())
 
 #: Weights before training: bias, then as in features().
@@ -56,7 +57,7 @@ LIMIT = 8.0
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]  # the elements around it
+    at: int  # the number of the element that it is in, 0 for none
     mark: int  # 1: in an element for content, -1: in one for boilerplate, 0: neither
     tag: str
     linked: int  # characters in links
@@ -79,18 +80,19 @@ def marked(tag: str, attributes: str, mark: int) -> int:
     return 1 if tag in CONTENT and mark >= 0 else mark
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in its order; those without text are left out."""
+def blocks(page: str) -> tuple[list[Block], list[int]]:
+    """The blocks of a page in its order, without those that have no text; and the parent of each element, by number."""
     out: list[Block] = []
+    parent = [0]
     stack: list[tuple[str, int, int]] = []  # (tag, number, mark)
     parts: list[str] = []
-    seen = linked = depth_a = 0
+    linked = depth_a = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, tuple(n for _, n, _ in stack), stack[-1][2] if stack else 0, stack[-1][0] if stack else "", linked))
+            out.append(Block(text, stack[-1][1] if stack else 0, stack[-1][2] if stack else 0, stack[-1][0] if stack else "", linked))
         parts.clear()
         linked = 0
 
@@ -124,6 +126,8 @@ def blocks(page: str) -> list[Block]:
                     break
             depth_a = 0
             continue
+        if stack and stack[-1][0] == "p":
+            stack.pop()
         if tag in CLOSES:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in CLOSES[tag]:
@@ -131,12 +135,12 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in FENCE:
                     break
-        seen += 1
         if not m[4].endswith("/"):
-            stack.append((tag, seen, marked(tag, m[4], stack[-1][2] if stack else 0)))
+            parent.append(stack[-1][1] if stack else 0)
+            stack.append((tag, len(parent) - 1, marked(tag, m[4], stack[-1][2] if stack else 0)))
     add(page[at:])
     flush()
-    return out
+    return out, parent
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -180,25 +184,24 @@ def trained(x: np.ndarray, content: np.ndarray, steps: int = 400, rate: float =
     return w
 
 
-def distance(a: Block, b: Block) -> int:
-    """Steps between two blocks' elements in the tree."""
-    same = 0
-    for p, q in zip(a.path, b.path, strict=False):
-        if p != q:
-            break
-        same += 1
-    return len(a.path) + len(b.path) - 2 * same
+def distance(a: int, b: int, parent: list[int], most: int = 16) -> int:
+    """Steps between two elements in the tree, `most` at most. Numbers ascend from parent to child."""
+    steps = 0
+    while a != b and steps < most:
+        a, b = (parent[a], b) if a > b else (a, parent[b])
+        steps += 1
+    return steps
 
 
-def edges(found: list[Block], strength: float) -> list[tuple[int, int, float]]:
+def edges(found: list[Block], parent: list[int], strength: float) -> list[tuple[int, int, float]]:
     """Smoothness: neighbours in the page, and the next block under the same parent."""
-    out = [(i, i + 1, strength / (1 + distance(found[i], found[i + 1]))) for i in range(len(found) - 1)]
-    last: dict[tuple[int, ...], int] = {}
+    out = [(i, i + 1, strength / (1 + distance(found[i].at, found[i + 1].at, parent))) for i in range(len(found) - 1)]
+    last: dict[int, int] = {}
     for i, b in enumerate(found):
-        j = last.get(b.path[:-1])
+        j = last.get(parent[b.at])
         if j is not None and j < i - 1:
             out.append((j, i, strength / 4))
-        last[b.path[:-1]] = i
+        last[parent[b.at]] = i
     return out
 
 
@@ -287,12 +290,12 @@ def cut(gain: np.ndarray, joined: list[tuple[int, int, float]]) -> np.ndarray:
 
 
 def main_text(page: str | None, weights: np.ndarray, strength: float) -> str:
-    found = blocks(page or "")
+    found, parent = blocks(page or "")
     if not found:
         return ""
     # log p - log(1 - p), the difference of the two costs, is the classifier's sum.
     gain = np.clip(features(found) @ weights, -LIMIT, LIMIT)
-    return " ".join(b.text for b, yes in zip(found, cut(gain, edges(found, strength)), strict=True) if yes)
+    return " ".join(b.text for b, yes in zip(found, cut(gain, edges(found, parent, strength)), strict=True) if yes)
 
 
 def labelled_blocks(pages: DataFrame) -> DataFrame:
@@ -302,7 +305,7 @@ def labelled_blocks(pages: DataFrame) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, content = [], []
             for page in batch.column(0).to_pylist():
-                found = blocks(page or "")
+                found, _ = blocks(page or "")
                 for b, x in zip(found, features(found), strict=True):
                     if b.mark:
                         rows.append(x.tolist())

@@ -77,6 +77,18 @@ def test_table(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part", ["<div>", "<p>word word word, and so on to a.<li>b", "<", "<a ", '<p class="x', "<!--", "<ul><li>a"])
+def test_deep_and_broken_pages(part):
+    assert isinstance(text(part * 20_000), str)
+
+
+def test_distance():
+    found, parent = H.blocks("<div><p>a<p>b<ul><li>c<li>d</ul></div><section>e")
+    assert [b.text for b in found] == ["a", "b", "c", "d", "e"]
+    at = [b.at for b in found]
+    assert [H.distance(x, y, parent) for x, y in zip(at, at[1:])] == [2, 3, 2, 4] and H.distance(at[0], at[0], parent) == 0
+
+
 def test_long_page():
     page = "<article>" + "<p>Some words that make a paragraph of the text.</p>" * 20_000 + "</article><nav><a>x</a></nav>"
     assert text(page).count("Some words") == 20_000 and not text(page).endswith("x")
