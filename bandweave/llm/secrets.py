@@ -1,7 +1,7 @@
 """Secret scan with a random forest for false-positive removal, in DataFrame operations only.
 
 A text's candidates are found by one pattern: known key formats, values assigned to names like password or token, and
-opaque runs of 16 and more characters with a digit. Each is described by columns: length, shares and transitions of
+opaque runs of 16 and more characters with a digit, each also directly after '=' or ':'. Each is described by columns: length, shares and transitions of
 character classes, coverage by dictionary words, the words before and after it, and the path. A random forest
 (Spark's DataFrame implementation) trained on labelled findings scores it; findings under the threshold are false
 positives and marked so.
@@ -27,9 +27,17 @@ from pyspark.sql import functions as F
 #: Beginnings of key formats (fixed values).
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk_live_|rk_live_|sk-|AIza|ya29\\.|eyJ|SG\\.|npm_|pypi-"
 NAMES = "passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer"
+#: Names that a value of any characters is taken after, in either case and quoted or not, with '=', ':', '==', '::' or ':=' and up
+#: to 32 blanks on each side of it (Java's look-behind needs a bound). Cheap look-behinds first.
+ASSIGNED = (
+    "(?<=[=:]|[=: \\t][ \\t])(?<=[=:][ \\t]{0,32})"
+    "(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[ \\t]{0,32}[=:]{1,2}[ \\t]{0,32})"
+)
+RUN = "(?<![A-Za-z0-9+/_.-])(?=[A-Za-z0-9+/_.-]{16})"
 CANDIDATE = (
-    f"(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z0-9+/_.-]{{16}})(?:(?:{PREFIXES})[A-Za-z0-9_.-]{{11,}}[A-Za-z0-9_-]|(?=[A-Za-z+/_-]{{0,200}}[0-9])[A-Za-z0-9+/_-]{{16,}}={{0,2}})"
-    f"|(?<=[=:])(?<=(?:password|passwd|pwd|secret|token|api_key|apikey)[=:])[\"']?[^\\s\"'<>]{{5,}}[^\\s\"'<>.,;:?)]"
+    f"{RUN}(?:{PREFIXES})[A-Za-z0-9_.-]{{11,}}[A-Za-z0-9_-]"
+    f"|{ASSIGNED}[\"']?[^\\s\"'<>]{{5,}}[^\\s\"'<>.,;:?)]"
+    f"|{RUN}(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{{16,}}={{0,2}}"
 )
 #: Words that make up placeholders and identifiers rather than keys.
 DICTIONARY = "your|here|example|sample|test|dummy|fake|change|me|placeholder|password|passwd|secret|token|key|api|user|name|admin|default|none|null|todo|xxx+|abc|123456?7?8?9?0?|qwerty|value|string|insert|config|controller|service|manager|account|handler|factory|package|release|download|version|linux|windows|image|data|file|path|index|table|column|client|server|request|response|http|https|www|com|org|the|and|with|for|from|this|that"
