@@ -22,6 +22,7 @@ an empty result. pseudonymised() keeps all other columns; its counts replace col
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 from datetime import date
@@ -60,15 +61,20 @@ class Permutation:
     """A keyed permutation of 0..n-1 without fixed points (for n > 1); label separates formats."""
 
     def __init__(self, key: bytes, label: str, n: int):
-        self.n, self.a = n, max(1, int(n**0.5))
-        while self.a * self.a < n:
-            self.a += 1
+        self.n, self.a = n, math.isqrt(n - 1) + 1
         self.b = -(-n // self.a)
-        self.key, self.label = hashlib.blake2b(key, digest_size=32).digest(), f"{label}|{n}".encode()
+        name = str(n) if n.bit_length() < 4096 else hex(n)  # Python writes no decimal number of over 4300 digits
+        self.key, self.label = hashlib.blake2b(key, digest_size=32).digest(), f"{label}|{name}".encode()
         self.step = 1 + self._f(0xFF, 0) % (n - 1) if n > 1 else 0
 
     def _f(self, i: int, x: int) -> int:
-        return int.from_bytes(hashlib.blake2b(self.label + bytes([i]) + x.to_bytes(32, "big"), key=self.key, digest_size=32).digest(), "big")
+        """As many bits as a half has, 256 at least; the blocks after the first are digests of it."""
+        data = self.label + bytes([i]) + x.to_bytes(max(32, -(-x.bit_length() // 8)), "big")
+        out = hashlib.blake2b(data, key=self.key, digest_size=32).digest()
+        blocks = -(-self.a.bit_length() // 256)
+        if blocks > 1:
+            out += b"".join(hashlib.blake2b(out[:32] + k.to_bytes(8, "big"), key=self.key, digest_size=32).digest() for k in range(1, blocks))
+        return int.from_bytes(out, "big")
 
     def _feistel(self, v: int, back: bool) -> int:
         while True:

@@ -90,3 +90,14 @@ def test_tables(odd_documents, documents):
     assert out.columns == odd_documents.columns and sorted(map(str, out.select("doc_id", "text").collect())) == sorted(map(str, odd_documents.select("doc_id", "text").collect()))
     assert P.pseudonymised(odd_documents.limit(0), KEY).count() == 0
     assert P.pseudonymised(docs.withColumnRenamed("kept", "n_card"), KEY).columns.count("n_card") == 1
+
+
+@pytest.mark.parametrize("size", [38, 40, 64, 110, 218, 500, 4000])
+def test_long_local_parts(size):
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "a7", "z"):
+        local = (letters * size)[:size]
+        new, found = one(f"to {local}@a.co now")
+        own = new[3 : 3 + size]
+        assert found == {"email": 1} and new[3 + size :] == "@a.co now" and one(new, back=True)[0] == f"to {local}@a.co now"
+        # All of it is permuted: every quarter differs.
+        assert all(own[k * size // 4 : (k + 1) * size // 4] != local[k * size // 4 : (k + 1) * size // 4] for k in range(4))
