@@ -20,6 +20,7 @@ gives an empty result. Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -39,32 +40,44 @@ CAPACITY = 2048
 LONG_BLANK = re.compile(r"\s{100000}")
 
 
-def encoder(ranks_file: str, pattern: str, json_file: str):
-    """text -> ids, as the tokenizer of json_file gives without special tokens. The rank file has the same
-    vocabulary, and its merges run several times faster; texts with very long white space go to the tokenizer itself."""
+def encoder(ranks_file: str, pattern: str, json_file: str, added: bool = False):
+    """text -> ids, as the tokenizer of json_file gives. The rank file has the same vocabulary, and its merges run
+    several times faster; texts with very long white space go to the tokenizer itself. added: the literal of an
+    added token (<|endoftext|>) is that token, as the tokenizer's default is; else it is text like any other."""
     import tiktoken
     from tokenizers import Tokenizer
 
     with open(ranks_file, "rb") as lines:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    with open(json_file, encoding="utf-8") as file:
+        tokens = json.load(file)["added_tokens"] if added else []
+    #: Tokens that take blanks beside them, or stand for whole words only, are left to the tokenizer.
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in tokens)
+    words = {t["content"]: t["id"] for t in tokens}
+    ranks_of = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={w: r for w, r in ranks.items() if r not in words.values()}, special_tokens=words)
     slow: list[Tokenizer] = []
 
     def encode(text: str) -> list[int]:
-        if len(text) < 100_000 or not LONG_BLANK.search(text):
-            return fast(text)
+        special = any(w in text for w in words)
+        if (plain or not special) and (len(text) < 100_000 or not LONG_BLANK.search(text)):
+            return ranks_of.encode(text, allowed_special="all") if special else ranks_of.encode_ordinary(text)
         if not slow:
             slow.append(Tokenizer.from_file(json_file))
-            slow[0].encode_special_tokens = True
+            slow[0].encode_special_tokens = not added
         return slow[0].encode(text, add_special_tokens=False).ids
 
     return encode
 
 
-def default_encoder():
+def default_encoder(added: bool = False):
     import public_tokenizers as P
 
-    return encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("byte_bpe_50k.json"))
+    return encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, P.path("byte_bpe_50k.json"), added)
+
+
+def contract_encoder():
+    """The ids of the unaltered tokenizer."""
+    return default_encoder(added=True)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -73,7 +86,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def tokenized(docs: DataFrame, capacity: int = CAPACITY, make_encoder=default_encoder, end: int = 0) -> DataFrame:
+def tokenized(docs: DataFrame, capacity: int = CAPACITY, make_encoder=contract_encoder, end: int = 0) -> DataFrame:
     """PIECES' columns: every piece of every document."""
 
     def make():
@@ -168,6 +181,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return map_arrow(ranked(pieces).select(*names, "_rank"), make, f"{PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, make_encoder=default_encoder, end: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, make_encoder=contract_encoder, end: int = 0) -> DataFrame:
     """The place of every piece of every document. The tokens are counted once, into a table."""
     return pack(written(tokenized(docs, capacity, make_encoder, end), "pieces"), capacity)

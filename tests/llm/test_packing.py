@@ -106,3 +106,13 @@ def test_odd_rows(odd_documents):
     assert sorted((r.doc_id, r.length) for r in got if r.doc_id in (0, 9)) == [(0, 1), (9, 1)]
     assert len([r for r in got if r.doc_id == 3]) == 2 and len([r for r in got if r.doc_id == 8]) > 10
     assert P.pack_documents(odd_documents.limit(0)).count() == 0
+
+
+def test_ids_of_the_unaltered_tokenizer(documents):
+    plain = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n\n x", "  <|endoftext|>  ", "<|endoftext|", "it's <|endoftext|>é's", " " * 120_000 + "<|endoftext|> x", "a b", ""]
+    encode = P.contract_encoder()
+    assert [list(encode(t)) for t in texts] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode(texts[0]) == [64, 220, 50256, 275]
+    got = P.pack_documents(documents([(1, texts[0])])).first()
+    assert (got.length, got.ids_crc32) == (5, zlib.crc32(np.array([64, 220, 50256, 275, 0], "<u4").tobytes()))
