@@ -10,7 +10,8 @@ The permutation: an alternating Feistel network over Z_a x Z_b, a * b >= N, keye
 into 0..N-1; P is used as P^-1(P(x) + s), a single cycle of a keyed step, so no value stands for itself.
 
 Formats: e-mail addresses (letters and digits of the local part), telephone numbers (North American ones with valid
-area and exchange codes; others with + and 8 to 15 digits, whose country code stays), payment cards (13 to 19 digits,
+area and exchange codes, in tables also those written with +1 whose codes aren't valid, among their like; others with + and
+8 to 15 digits, whose country code stays), payment cards (13 to 19 digits,
 plain or in groups, Luhn), IPv4 addresses, US social security numbers, IBANs, and dates from 1900 to 2099 as
 yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy or dd/mm/yyyy (numbers under 10 with a zero before all of them or none; of others
 only the day is restored). Other text is left byte for byte.
@@ -50,7 +51,7 @@ NUMBER = re.compile(
     |(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])
     |(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\w|\.\d)
     |(?P<card>\d{13,19}|\d{4}([ -])\d{4}\5\d{4}\5\d{4}|\d{4}([ -])\d{6}\6\d{5})(?!\w|-\d)
-    |(?P<phone>(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)[ .-]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}|\+[1-9]\d{0,2}(?:(?:[ -]?\(?\d{1,4}\)?){2,6}|(?:\.\d{1,4}){2,6}))(?!\w)
+    |(?P<phone>(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)[ .-]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}|\+1(?:[ .-]?\(\d{3}\)[ .-]?|[ .-]\d{3}[ .-]?)\d{3}[ .-]?\d{4}|\+[1-9]\d{0,2}(?:(?:[ -]?\(?\d{1,4}\)?){2,6}|(?:\.\d{1,4}){2,6}))(?!\w)
     |(?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?)(?!\w)
     )""",
     re.X,
@@ -107,10 +108,11 @@ def iban_rest(iban: str) -> int:
 
 
 class Pseudonyms:
-    """Replaces values in texts; back=True restores them."""
+    """Replaces values in texts; back=True restores them. any_code: numbers written with +1 are replaced whatever their area
+    and exchange codes are."""
 
-    def __init__(self, key: bytes, back: bool = False):
-        self.key, self.back = key, back
+    def __init__(self, key: bytes, back: bool = False, any_code: bool = False):
+        self.key, self.back, self.any_code = key, back, any_code
         self.permutation = lru_cache(4096)(lambda label, n: Permutation(key, label, n))
         self.value = lru_cache(100_000)(self._value)
 
@@ -136,6 +138,23 @@ class Pseudonyms:
         left = iter(digits)
         return "".join(next(left) if c.isdigit() else c for c in form)
 
+    def _nanp(self, own: str) -> str:
+        """Ten digits of a valid North American number."""
+        x = (int(own[:3]) - 200) * 800 + int(own[3:6]) - 200
+        x, line = divmod(self._number("nanp", 6_400_000_000, x * 10_000 + int(own[6:])), 10_000)
+        area, exchange = divmod(x, 800)
+        return f"{area + 200:03}{exchange + 200:03}{line:04}"
+
+    def _written_one(self, v: str, own: str) -> str:
+        """A number with +1: valid ones among the valid, those whose area or exchange code begins with 0 or 1 among such."""
+        area, exchange = int(own[:3]), int(own[3:6])
+        if area >= 200 and exchange >= 200:
+            return self._fill(v, "1" + self._nanp(own))
+        codes = area * 1000 + exchange if area < 200 else 200_000 + (area - 200) * 200 + exchange
+        codes, line = divmod(self._number("nanp rest", 3_600_000_000, codes * 10_000 + int(own[6:])), 10_000)
+        area, exchange = divmod(codes, 1000) if codes < 200_000 else divmod(codes, 200)
+        return self._fill(v, f"1{area - (0 if codes < 200_000 else 800):03}{exchange:03}{line:04}")
+
     def _value(self, kind: str, v: str) -> str | None:
         """The pseudonym of a value; None if it isn't valid."""
         digits = "".join(c for c in v if c.isdigit())
@@ -164,18 +183,13 @@ class Pseudonyms:
             return f"{area + 1 + (area >= 665):03}-{group + 1:02}-{serial + 1:04}"
         if kind == "phone":
             if re.fullmatch(r"(?:\+?1[ .-]?)?\(?[2-9]\d\d\)?[ .-]?[2-9]\d\d[ .-]\d{4}", v):
-                head, own = digits[:-10], digits[-10:]
-                x = ((int(own[0]) - 2) * 100 + int(own[1:3])) * 800 + (int(own[3]) - 2) * 100 + int(own[4:6])
-                x = self._number("nanp", 6_400_000_000, x * 10_000 + int(own[6:]))
-                x, line = divmod(x, 10_000)
-                area, exchange = divmod(x, 800)
-                return self._fill(v, f"{head}{area + 200:03}{exchange + 200:03}{line:04}")
+                return self._fill(v, digits[:-10] + self._nanp(digits[-10:]))
             country = re.match(r"\+(\d{1,3})(?=[ .(-])|\+(\d{2})", v)
             if not v.startswith("+") or not country or not 8 <= len(digits) <= 15:
                 return None
             head = country[1] or country[2]
             if head == "1":
-                return None
+                return self._written_one(v, digits[1:]) if self.any_code and len(digits) == 11 else None
             return self._fill(v, head + str(self._number("phone", 10 ** (len(digits) - len(head)), int(digits[len(head) :]))).zfill(len(digits) - len(head)))
         if kind == "iban":
             plain = v.replace(" ", "")
@@ -239,7 +253,7 @@ def pseudonymised(docs: DataFrame, key: bytes, back: bool = False, column: str =
     at = names.index(column)
 
     def run(batches):
-        make = Pseudonyms(key, back)
+        make = Pseudonyms(key, back, any_code=True)
         for batch in parts(batches):
             texts, counts = [], [Counter() for _ in range(batch.num_rows)]
             for value, count in zip(batch.column(at), counts, strict=True):

@@ -101,3 +101,15 @@ def test_long_local_parts(size):
         assert found == {"email": 1} and new[3 + size :] == "@a.co now" and one(new, back=True)[0] == f"to {local}@a.co now"
         # All of it is permuted: every quarter differs.
         assert all(own[k * size // 4 : (k + 1) * size // 4] != local[k * size // 4 : (k + 1) * size // 4] for k in range(4))
+
+
+def test_numbers_written_with_one_in_tables(documents):
+    numbers = ["+1 (152) 555-8590", "+1 (017) 555-7713", "+1 (578) 055-6437", "+1 999 199-0000", "+1-200-199-9999", "+1 (578) 555-6437", "+1 5785556437", "+1 000 000 0000"]
+    docs = documents([*enumerate(numbers), *((100 + i, f"call {n} 7 times, {n}.") for i, n in enumerate(numbers))])
+    got = {r.doc_id: r for r in P.pseudonymised(docs, KEY).collect()}
+    valid = lambda t: min(re.sub(r"\D", "", t)[i] for i in (1, 4)) >= "2"
+    for i, n in enumerate(numbers):
+        new = got[i].text
+        assert new != n and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", n) and new.startswith("+1") and valid(new) == valid(n)
+        assert (got[i].n_phone, got[100 + i].n_phone, got[100 + i].text) == (1, 2, f"call {new} 7 times, {new}.")
+    assert {r.doc_id: r.text for r in P.restore(P.pseudonymised(docs, KEY), KEY).collect()} == {r.doc_id: r.text for r in docs.collect()}
