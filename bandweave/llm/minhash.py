@@ -17,8 +17,8 @@
 
 Cases: ASCII letters are lower-cased first. A text with fewer words than a shingle has its whole sequence as its
 one shingle; null, empty and wordless texts have none and are linked with nothing. Rows that repeat a doc_id
-count as one document (each row gets its result). A null doc_id is left without a component of its own: such rows are
-refused. An empty table gives an empty result. Columns other than doc_id and text are ignored.
+count as one document (each row gets its result). A null doc_id has no component to name: such rows are
+refused, or with null_ids=True (the query and deduplicated()) linked with nothing and kept, their component null. An empty table gives an empty result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -253,11 +253,14 @@ def links(clusters: DataFrame, sets: DataFrame, percent: int, block: int, block_
     return in_arrow(dealt, run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-7, near: int = 40, rounds: int = 2, block: int = 512, block_shingles: int = 400_000, broadcast_rows: int = 200_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-7, near: int = 40, rounds: int = 2, block: int = 512, block_shingles: int = 400_000, broadcast_rows: int = 200_000, null_ids: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept). width: words of a shingle; percent: the least Jaccard
-    similarity of a link; the rest is in the module's description."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.assert_true(F.col("doc_id").isNotNull()).isNull())
-    signs = written(signed(texts, width, rows, band_count(percent, rows, miss)), "signatures")
+    similarity of a link; null_ids: rows without doc_id are taken; the rest is in the module's description."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not null_ids:
+        texts = texts.where(F.assert_true(F.col("doc_id").isNotNull()).isNull())
+    every = written(signed(texts, width, rows, band_count(percent, rows, miss)), "signatures")
+    signs = every.where("doc_id is not null")
     copies = written(signs.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("_max")).where("node <> _max").drop("_max"), "copies")
     member = signs.join(copies, ["hi", "lo", "n"], "left").withColumn("node", F.coalesce("node", "doc_id"))
     banded = member.where("node = doc_id").select(F.explode("bands").alias("band"), "node")
@@ -274,12 +277,14 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
     for table in (*used, roots, clusters):  # the result is read from signs, copies and found
         dropped(table)
     component = F.coalesce("_root", "node")
-    return member.select("doc_id", "n", "node").join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    out = member.select("doc_id", "n", "node").join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    alone = every.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone) if null_ids else out
 
 
 def deduplicated(docs: DataFrame, *, broadcast_rows: int = 200_000, **options) -> DataFrame:
-    """One row of docs, all columns, for each group of near duplicates: that of the smallest doc_id."""
-    found = written(near_duplicates(docs, broadcast_rows=broadcast_rows, **options), "near-duplicates")
+    """One row of docs, all columns, for each group of near duplicates: that of the smallest doc_id; and all rows without one."""
+    found = written(near_duplicates(docs, broadcast_rows=broadcast_rows, null_ids=True, **options).where("doc_id is not null"), "near-duplicates")
     sized = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_rows else ids
     repeated = written(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     out = docs.join(sized(written(found.where("not kept").select("doc_id").distinct(), "dropped")), "doc_id", "left_anti")

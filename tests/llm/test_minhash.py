@@ -133,3 +133,13 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in root if find(i) != i}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_without_id(documents):
+    rows = [(1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "a b c d"), (None, None), (3, "x y z")]
+    got = [tuple(r) for r in M.near_duplicates(documents(rows), width=3, percent=85, null_ids=True).collect()]
+    want = [(1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (None, 2, None, True), (None, 2, None, True), (None, 0, None, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = sorted((r.doc_id, r.text) for r in M.deduplicated(documents([*rows, (1, "a b c d")]), width=3, percent=85).collect() if r.doc_id is not None)
+    assert kept == [(1, "a b c d"), (3, "x y z")]
+    assert M.deduplicated(documents([*rows, (1, "a b c d")]), width=3, percent=85).where("doc_id is null").count() == 3
