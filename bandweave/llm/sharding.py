@@ -10,23 +10,30 @@ The law that holds is `rows`: the shards' counts are at most one apart.
 
 Cases: a null text counts as no bytes, with CRC 0. Rows that repeat a doc_id lie in the same bucket, in any
 order; doc_id should be a key, as the bucket of a hot one would grow. A null doc_id is a value like any other.
-An empty table gives an empty result. Columns other than the named ones are ignored by the query and carried
-by two_pass_shuffle(), whose own names begin with an underscore.
+An empty table gives an empty result. All columns are carried through the shuffle, by the query as well; names
+of two_pass_shuffle()'s own begin with an underscore.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bandweave.llm.common import prefix_sums
 
 
+def row_size(df: DataFrame) -> Column:
+    """About what a row of df takes: the bytes of its texts and nested values, and a fixed part."""
+    sizes = [F.octet_length(F.col(f.name) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.col(f.name).cast("string")) for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    return sum((F.coalesce(n, F.lit(0)).cast("long") for n in sizes), F.lit(96 + 8 * len(df.columns)).cast("long"))
+
+
 def two_pass_shuffle(df: DataFrame, key: str, *, row_bytes: Column | None = None, bucket_bytes: int = 64 << 20, seed: int = 42) -> DataFrame:
     """df in a random order: _position counts its rows from 0 without gaps. row_bytes: what a row takes in
-    memory, from which follows the number of buckets (one for each shuffle partition at least)."""
+    memory, row_size() if not given, from which follows the number of buckets (one for each shuffle partition at least)."""
     spark = df.sparkSession
-    held = int(df.agg(F.coalesce(F.sum(F.lit(96) if row_bytes is None else row_bytes), F.lit(0)).alias("n")).first().n)
+    held = int(df.agg(F.coalesce(F.sum(row_size(df) if row_bytes is None else row_bytes), F.lit(0)).alias("n")).first().n)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // bucket_bytes))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets)).cast("int")
     counts = df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
@@ -34,8 +41,9 @@ def two_pass_shuffle(df: DataFrame, key: str, *, row_bytes: Column | None = None
     row = F.struct(key, *(c for c in df.columns if c != key))
     dealt = df.select(bucket.alias("_bucket"), row.alias("_row")).repartitionById(buckets, "_bucket")
     whole = dealt.groupBy("_bucket").agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+    # One row for each bucket is sent to all tasks, so that the rows don't move again.
     placed = whole.select("_bucket", F.posexplode(F.shuffle("_rows", seed)).alias("_at", "_row"))
-    return placed.join(begins, "_bucket").select(F.col("_row.*"), (F.col("_begin") + F.col("_at")).alias("_position"))
+    return placed.join(F.broadcast(begins), "_bucket").select(F.col("_row.*"), (F.col("_begin") + F.col("_at")).alias("_position"))
 
 
 def shard(df: DataFrame, key: str, shards: int, *, row_bytes: Column | None = None, bucket_bytes: int = 64 << 20, seed: int = 42) -> DataFrame:
@@ -52,7 +60,7 @@ def write_shards(sharded: DataFrame, path: str, files: int) -> None:
 
 
 def shard_digests(docs: DataFrame, *, shards: int = 40, bucket_bytes: int = 64 << 20, seed: int = 42) -> DataFrame:
-    """Where each document goes, with size and CRC of its text; the texts themselves stay where they are."""
+    """Where each document goes, with size and CRC of its text, taken from the documents as they come out of the shuffle."""
+    moved = shard(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", shards, bucket_bytes=bucket_bytes, seed=seed)
     text = F.coalesce("text", F.lit(""))
-    digest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return shard(digest, "doc_id", shards, bucket_bytes=bucket_bytes, seed=seed).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return moved.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

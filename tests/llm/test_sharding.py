@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter
 
@@ -47,3 +48,15 @@ def test_odd_rows(odd_documents, tmp_path, spark):
 def test_plan_is_native(odd_documents):
     plan = S.shard_digests(odd_documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("passthrough") == 1
+
+
+def test_whole_documents_are_shuffled(spark, odd_documents):
+    docs = spark.range(120).selectExpr("id as doc_id", "repeat(concat('t', id % 10), 50000) as text", "array(repeat('u', 10)) as more")
+    for made in (S.two_pass_shuffle(docs, "doc_id", bucket_bytes=1 << 20), S.shard_digests(docs, bucket_bytes=1 << 20)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        buckets = int(re.search(r"passthrough\(.*?, (\d+)\)", plan)[1])
+        assert 11 <= buckets <= 24  # 12 to 18 MB of texts
+    above, _, below = plan.partition("passthrough(")
+    assert "crc32" in above and "crc32" not in below.split("BroadcastExchange")[0] and "text" in below
+    got = S.shard_digests(docs, bucket_bytes=1 << 20).collect()
+    assert {(r.doc_id, r.text_crc32) for r in got} == {(i, zlib.crc32((f"t{i % 10}" * 50_000).encode())) for i in range(120)}
