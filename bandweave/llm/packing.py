@@ -1,17 +1,23 @@
 """Bulk-synchronous best-fit packing of tokenized documents into sequences of bounded length.
 
 A document is its token ids and the end id. Only a document longer than `capacity` is cut, into pieces
-of `capacity` ids, of which the first may be shorter. Pieces are packed best-fit, the longest first.
-
-The sorted lists of pieces and of gaps, over which the successor sweeps run, hold few distinct values: lengths and
-gaps lie in 1..capacity, and pieces of one length are as good as each other. So both lists are kept as
-runs (length, count) and (gap, count), gathered by one distributed count; a sweep matches the longest open run of
-pieces with its successor, the smallest gap that takes them; where there are more pieces than places the lower ranks
-win and the rest goes on to the next sweep; gaps shrink and the sweeps repeat until no piece is left. What comes out
-are runs of ranks with their places. The other distributed half gives each piece its rank among those of its length
-(counts of hash ranges, their prefix sums, a sort in each range, so a length that a third of all pieces
-have is no larger task than others), and the rank gives the place. However many documents there are, the
-sweeps handle `capacity` runs, and no more than those leave the executors.
+of `capacity` ids, of which the first may be shorter. Pieces are packed best-fit, the longest first:
+
+1. Pieces are range-sorted by length. Length classes (capacity/2, capacity], (capacity/4, capacity/2] and so on
+   follow one another.
+2. A sweep range-sorts the open pieces of a class together with the gaps that take some of them, from large to small.
+   A gap of g stands there with g div m places, m being the longest open piece, so that all its places can be taken.
+   Walking down this order, every piece gets its successor: the smallest gap above it with a place that no piece of
+   a higher rank has taken. These are the pairs of a bracket sequence, gaps opening and pieces closing: a task matches
+   those of its own range, what it leaves is so many pieces and then so many places, and pairs across ranges follow from the
+   two counts of each range alone. So a sweep's result depends on the order, not on the number of ranges.
+3. Gaps are updated, and the class is swept again as long as pieces are open. Where no gap takes the smallest of them, new
+   sequences are opened: as many as the open pieces' ids fill, or one for each piece of over half of the capacity.
+4. The sweeps in which its pieces came, and their places there, give the order inside a sequence.
+
+The driver sees one row for each class and for each range of a sweep. The number of sweeps grows with the logarithms of
+the capacity and of the number of pieces. Every sweep's results are tables in the shared folder. On the test tables there
+are as many sequences as piece by piece best fit gives.
 
 Cases: a null or empty text is the end id alone. Rows that repeat a doc_id are packed one by one. An empty table
 gives an empty result. Columns other than doc_id and text are ignored.
@@ -23,14 +29,16 @@ import base64
 import json
 import re
 import zlib
-from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
-from bandweave.llm.common import map_arrow, prefix_sums, written
+from bandweave.llm.common import dropped, in_arrow, map_arrow, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 CAPACITY = 2048
@@ -107,80 +115,133 @@ def tokenized(docs: DataFrame, capacity: int = CAPACITY, make_encoder=contract_e
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, PIECES)
 
 
-def sweep(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (length, first rank, first sequence, pieces stacked in a sequence, first offset): the pieces of a
-    length, from that rank on, stand so many to a sequence, one sequence after the other."""
-    gaps: list[int] = []  # the gaps that there are, ascending
-    runs: dict[int, list[tuple[int, int]]] = {}  # gap -> (first sequence, sequences)
-    placed: list[tuple[int, int, int, int, int]] = []
-    opened = 0
-
-    def add(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in runs:
-                insort(gaps, gap)
-            runs.setdefault(gap, []).append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, length)
-            if at < len(gaps):  # the successor among the gaps
-                gap = gaps[at]
-                first, n = runs[gap].pop()
-                if not runs[gap]:
-                    del runs[gap], gaps[at]
-            else:  # none takes it: open as many as the run needs
-                gap, first = capacity, opened
-                n = -(-left // (capacity // length))
-                opened += n
-            stack = gap // length
-            full = min(n, left // stack)
-            placed.append((length, rank, first, stack, capacity - gap))
-            add(gap - stack * length, first, full)
-            rank, left = rank + full * stack, left - full * stack
-            if full < n and left:  # fewer than a stack
-                add(gap - left * length, first + full, 1)
-                rank, left, full = rank + left, 0, full + 1
-            add(gap, first + full, n - full)
-    return np.array(placed, np.int64).reshape(-1, 5)
-
-
-def ranked(pieces: DataFrame, range_rows: int = 512) -> DataFrame:
-    """pieces with _rank, from 0, among those of the same length."""
-    most = pieces.groupBy("length").count().agg(F.max("count").alias("n")).first().n or 0
-    ranges = max(1, -(-most // range_rows))
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(ranges))
-    parted = pieces.withColumn("_range", part)
-    before = prefix_sums(parted.groupBy("length", "_range").agg(F.count(F.lit(1)).alias("_n")), ["length"], "_range", "_n", "_before").drop("_n")
-    inside = Window.partitionBy("length", "_range").orderBy("doc_id", "piece", "ids_crc32", "start")
-    return parted.withColumn("_in", F.row_number().over(inside) - 1).join(before, ["length", "_range"]).withColumn("_rank", F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (PIECES' columns) with sequence_id and offset. They are read three times: give a table."""
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # `capacity` rows at most
-    places = pieces.sparkSession.sparkContext.broadcast(sweep(counts, capacity))
-    names = [x.split()[0] for x in PIECES.split(", ")]
-
-    def make():
-        place = places.value
-        keys = (place[:, 0] << 48) + place[:, 1]
-        order = np.argsort(keys)
-        place, keys = place[order], keys[order]
-
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            length, rank = (np.asarray(batch.column(c)) for c in ("length", "_rank"))
-            _, first_rank, first, stack, offset = place[np.searchsorted(keys, (length << 48) + rank, "right") - 1].T
-            sequence, level = np.divmod(rank - first_rank, stack)
-            columns = [*(batch.column(n) for n in names), pa.array(first + sequence), pa.array(offset + level * length)]
-            return pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
-
-        return step
-
-    return map_arrow(ranked(pieces).select(*names, "_rank"), make, f"{PIECES}, sequence_id long, offset long")
-
-
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, make_encoder=contract_encoder, end: int = 0) -> DataFrame:
+#: What a sweep gives: a piece at a place of a sequence with so large a gap, an open piece (no sequence) or a place that is
+#: left (no piece). part, at: the range, and which of the range's open pieces or places left it is.
+MET = f"sweep int, part int, at long, sequence_id long, place int, gap long, row long, tie long, {PIECES}"
+OF_PLACE, OF_PIECE = ("sequence_id", "place", "gap"), ("row", "tie", *(x.split()[0] for x in PIECES.split(", ")))
+
+
+def brackets(opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a sequence of opening (True) and closing brackets: the positions of matched opening ones and of the closing ones that
+    they meet, of closing ones that are left and of opening ones that are."""
+    depth = np.cumsum(np.where(opens, 1, -1))
+    level = np.where(opens, depth, depth + 1)  # brackets of a level open and close in turn
+    order = np.argsort(level, kind="stable")
+    level, kind = level[order], opens[order]
+    pair = np.flatnonzero((level[1:] == level[:-1]) & kind[:-1] & ~kind[1:])
+    met = np.zeros(len(opens), bool)
+    met[order[pair]] = met[order[pair + 1]] = True
+    return order[pair], order[pair + 1], np.flatnonzero(~met & ~opens), np.flatnonzero(~met & opens)
+
+
+def crossings(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """left: (range, open pieces, places left), in order. Rows (range, first piece, pieces, range of their places, place of
+    the first): the next piece has the place before, and so on."""
+    stack: list[list[int]] = []  # ranges with places left, and how many
+    out = []
+    for part, pieces, places in left:
+        first = 0
+        while first < pieces and stack:
+            n = min(pieces - first, stack[-1][1])
+            out.append((part, first, n, stack[-1][0], stack[-1][1] - 1))
+            first += n
+            stack[-1][1] -= n
+            if not stack[-1][1]:
+                stack.pop()
+        if places:
+            stack.append([part, places])
+    return out
+
+
+def meet(pieces: DataFrame, places: DataFrame, number: int, ranges: int) -> DataFrame:
+    """One sweep's table, as MET: pieces (OF_PIECE) and places (OF_PLACE) in one descending order, matched in each range."""
+    size = pieces.withColumns({"_size": F.col("length"), "_kind": F.lit(1), **{c: F.lit(None).cast("long") for c in OF_PLACE}})
+    both = size.unionByName(places.withColumns({"_size": F.col("gap"), "_kind": F.lit(0), "tie": F.col("sequence_id"), "row": F.col("place").cast("long")}), allowMissingColumns=True)
+    order = [F.desc("_size"), F.col("_kind"), F.col("tie"), F.col("row")]
+    ranged = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(*OF_PLACE, *OF_PIECE)
+    kinds = [pa.int64() if x.split()[1] == "long" else pa.int32() for x in MET.split(", ")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if whole is None or not whole.num_rows:
+            return
+        opens = whole.column("gap").is_valid().to_numpy()
+        place, piece, no_place, no_piece = brackets(opens)
+        part = TaskContext.get().partitionId()
+        for at_place, at_piece in ((place, piece), (None, no_place), (no_piece, None)):
+            n = len(at_piece if at_place is None else at_place)
+            taken = {c: whole.column(c).take(pa.array(at)) if at is not None else pa.nulls(n, pa.int64()) for at, names in ((at_place, OF_PLACE), (at_piece, OF_PIECE)) for c in names}
+            columns = {"sweep": np.full(n, number), "part": np.full(n, part), "at": np.arange(n), **taken}
+            names = [x.split()[0] for x in MET.split(", ")]
+            arrays = ((columns[c] if not isinstance(columns[c], np.ndarray) else pa.array(columns[c])).cast(k) for c, k in zip(names, kinds, strict=True))
+            yield from pa.table(list(arrays), names).combine_chunks().to_batches()
+
+    return written(in_arrow(ranged, run, MET), f"sweep-{number}")
+
+
+def figures(met: DataFrame, *by, **also) -> DataFrame:
+    """Number, least, greatest and total length of the open pieces of a table like MET."""
+    length = F.when(F.col("sequence_id").isNull(), F.col("length"))
+    return met.groupBy(*by).agg(F.count(length).alias("n"), F.min(length).alias("least"), F.max(length).alias("most"), F.sum(length).alias("ids"), *(c.alias(n) for n, c in also.items()))
+
+
+def swept(pieces: DataFrame, capacity: int, range_rows: int) -> list[DataFrame]:
+    """pieces (OF_PIECE), a table range-sorted by length -> tables of MET that together give every piece its place."""
+    spark, names = pieces.sparkSession, [x.split()[0] for x in MET.split(", ")]
+    grade = F.floor(F.log2(F.lit(float(capacity)) / F.col("length"))).cast("int")  # class 0: more than half of the capacity
+    classes = sorted(figures(pieces.withColumn("sequence_id", F.lit(None)), grade.alias("grade")).collect(), key=lambda c: c.grade)  # as many rows as the capacity has bits
+    gaps, largest, opened, free, number, placed = spark.createDataFrame([], "sequence_id long, gap long"), 0, 0, 0, 0, []
+    for known in classes:
+        docs, now = pieces.where(F.col("length").between(known.least, known.most)), known
+        while now.n:
+            if largest < now.least:
+                more = now.n if known.grade == 0 else -(-now.ids // capacity)
+                gaps = gaps.union(spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap")))
+                opened, free, largest = opened + more, free + more * capacity, capacity
+            offered = gaps.where(F.col("gap") >= now.least).withColumn("_last", (F.greatest(F.lit(1).cast("long"), F.expr(f"gap div {now.most}")) - 1).cast("int"))
+            places = offered.select("sequence_id", F.explode(F.sequence(F.lit(0), "_last")).alias("place"), "gap")
+            met = meet(docs, places, number, -(-(now.n + min(free // now.least, opened + free // now.most)) // range_rows))
+            docs, touched = met.where("sequence_id is null"), met.where("sequence_id is not null").select("sequence_id", "gap", "length")
+            placed.append(met.where("sequence_id is not null and row is not null"))
+            ranges = figures(met, "part", places=F.count_if(F.col("row").isNull())).orderBy("part").collect()  # a row for each range
+            cross = crossings([(r.part, r.n, r.places) for r in ranges])
+            if cross:
+                spans = F.broadcast(spark.createDataFrame(cross, "_of int, _first long, _n long, _part int, _place long"))
+                found = docs.join(spans, (F.col("part") == F.col("_of")) & (F.col("at") >= F.col("_first")) & (F.col("at") < F.col("_first") + F.col("_n")), "left")
+                going = found.where("_part is not null").select(F.col("_part").alias("part"), (F.col("_place") - (F.col("at") - F.col("_first"))).alias("at"), *OF_PIECE)
+                left = met.where("row is null").select("sweep", "part", "at", *OF_PLACE)
+                crossed = written(left.join(going, ["part", "at"]).select(*names), f"crossed-{number}")
+                placed.append(crossed)
+                docs, touched = found.where("_part is null"), touched.union(crossed.select("sequence_id", F.lit(None).cast("long"), "length"))
+                ranges = figures(docs).collect()
+            docs, before, least = docs.select(*OF_PIECE), now.ids, now.least
+            now = Row(n=sum(r.n for r in ranges), least=min((r.least for r in ranges if r.n), default=0), most=max((r.most for r in ranges if r.n), default=0), ids=sum(r.ids for r in ranges if r.n))
+            free -= before - now.ids
+            rest = touched.groupBy("sequence_id").agg((F.max("gap") - F.coalesce(F.sum("length"), F.lit(0))).alias("gap"))
+            # Gaps that were smaller than all open pieces of this class wait for the next ones.
+            seen, old = Observation(), gaps
+            gaps = written(gaps.where(F.col("gap") < least).union(rest.where("gap > 0")).observe(seen, F.max("gap").alias("largest")), f"gaps-{number}")
+            largest, number = seen.get["largest"] or 0, number + 1
+            dropped(old)
+    dropped(gaps)
+    return placed
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = 100_000) -> DataFrame:
+    """pieces (PIECES' columns, a table) with sequence_id and offset. range_rows: about how many pieces and places a task of a
+    sweep matches."""
+    n = pieces.count()
+    if not n:
+        return pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+    # A number for each piece tells repeated rows apart. Ties of length are broken by a hash.
+    known = pieces.withColumns({"row": F.monotonically_increasing_id(), "tie": F.xxhash64("doc_id", "piece", "ids_crc32", "start")})
+    ranged = known.repartitionByRange(-(-n // range_rows), F.desc("length"), "tie", "row").sortWithinPartitions(F.desc("length"))
+    placed = reduce(DataFrame.union, swept(written(ranged, "ranged"), capacity, range_rows))
+    before = Window.partitionBy("sequence_id").orderBy("sweep", "place").rowsBetween(Window.unboundedPreceding, -1)  # `capacity` rows at most
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")
+    return placed.withColumn("offset", offset).select(*(x.split()[0] for x in PIECES.split(", ")), "sequence_id", "offset")
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, make_encoder=contract_encoder, end: int = 0, **options) -> DataFrame:
     """The place of every piece of every document. The tokens are counted once, into a table."""
-    return pack(written(tokenized(docs, capacity, make_encoder, end), "pieces"), capacity)
+    return pack(written(tokenized(docs, capacity, make_encoder, end), "pieces"), capacity, **options)

@@ -70,34 +70,55 @@ def plain_best_fit(lengths, capacity):
     return len(gaps)
 
 
-def test_sweeps_use_as_few_sequences_as_piecewise_best_fit():
+def plain_brackets(opens):
+    stack, pairs, left = [], [], []
+    for i, o in enumerate(opens):
+        if o:
+            stack.append(i)
+        elif stack:
+            pairs.append((stack.pop(), i))
+        else:
+            left.append(i)
+    return sorted(pairs), left, stack
+
+
+def test_brackets_and_crossings_match_as_one_stack_does():
     rng = random.Random(6)
-    for _ in range(40):
-        capacity = rng.choice([7, 30, 100])
-        lengths = [min(capacity, 1 + int(rng.expovariate(4 / capacity))) for _ in range(rng.randrange(1, 400))]
-        counts = {n: lengths.count(n) for n in set(lengths)}
-        plan = P.sweep(counts, capacity)
-        sequences = {}
-        for n, count in counts.items():
-            runs = sorted(p[1:].tolist() for p in plan if p[0] == n)
-            for rank in range(count):
-                first_rank, first, stack, offset = [r for r in runs if r[0] <= rank][-1]
-                k, level = divmod(rank - first_rank, stack)
-                sequences.setdefault(first + k, []).append((offset + level * n, n))
-        for pieces in sequences.values():
-            at = 0
-            for offset, n in sorted(pieces):
-                assert offset == at
-                at += n
-            assert at <= capacity
-        assert len(sequences) <= plain_best_fit(lengths, capacity)
-
-
-def test_ranks_without_a_hot_task(spark):
-    df = spark.range(500).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id % 10 = 0, 3L, 7L) as length", "0L as ids_crc32")
-    got = P.ranked(df, range_rows=20).collect()
-    for n, count in ((3, 50), (7, 450)):
-        assert sorted(r._rank for r in got if r.length == n) == list(range(count))
+    for _ in range(200):
+        share, parts = rng.random(), rng.randrange(1, 7)
+        opens = [rng.random() < share for _ in range(rng.randrange(1, 80))]
+        cuts = sorted(rng.randrange(len(opens) + 1) for _ in range(parts - 1))
+        pairs, counts, left = [], [], {}
+        for part, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(opens)], strict=True)):
+            place, piece, no_place, no_piece = (x + lo for x in P.brackets(np.array(opens[lo:hi], bool)))
+            pairs += zip(place.tolist(), piece.tolist(), strict=True)
+            counts.append((part, len(no_place), len(no_piece)))
+            left[part] = (no_place, no_piece)
+        for part, first, n, of, place in P.crossings(counts):
+            pairs += [(int(left[of][1][place - i]), int(left[part][0][first + i])) for i in range(n)]
+        assert sorted(pairs) == plain_brackets(opens)[0]
+
+
+def packed(spark, lengths, capacity, range_rows):
+    rows = [(i // 3, 0, 0, n, 7) for i, n in enumerate(lengths)]  # rows that repeat as well
+    return P.pack(spark.createDataFrame(rows, P.PIECES), capacity, range_rows).collect()
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_sweeps_use_as_few_sequences_as_piecewise_best_fit(spark, seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([7, 30, 100])
+    lengths = [min(capacity, 1 + int(rng.expovariate(4 / capacity))) for _ in range(rng.randrange(100, 400))]
+    whole, ranged = packed(spark, lengths, capacity, 10_000), packed(spark, lengths, capacity, 40)
+    assert sorted(r.length for r in whole) == sorted(lengths)
+    assert check(whole, capacity) <= plain_best_fit(lengths, capacity)
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, ranged))  # one result, however many ranges
+
+
+def test_a_hot_length(spark):
+    lengths = [30] * 300 + [10] * 40
+    got = packed(spark, lengths, 100, 50)
+    assert check(got, 100) == 100 and len(got) == 340
 
 
 def test_odd_rows(odd_documents):
