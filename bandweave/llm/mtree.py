@@ -3,34 +3,37 @@
 Integer vectors v get one more component, sqrt(M - |v|^2) with M the largest squared norm, queries get 0 there: then
 |q - v|^2 = |q|^2 + M - 2 <q, v>, so the largest inner products are the nearest neighbours in a metric.
 
-Tree: routing objects are a bounded sample of vectors (`routers` at most); about the root of their number are the
-upper level, the others stand under the nearest of these with their stored parent distance. Each vector goes to the nearest
-router under the nearest upper one, with its own parent distance. A router's vectors fill pages of about
-`page_rows`, dealt by hash, so a router with a third of all vectors has more pages and not larger ones. A router's
-node has its covering radius and the least distance.
-
-Search, in waves over blocks of queries: first each query's own page, then the `near` nodes with the least lower bounds,
-then all nodes whose bound doesn't exceed the distance of the k-th best so far. Stored distances spare
+Tree: a node of more than `page_rows` vectors is split by distance. Some of its own vectors, drawn by hash, become the routers of
+its children (`fanout` at most), and every vector goes to the nearest; equal routers share theirs. This repeats level by level, in
+groups of (node, salt), until every leaf is a page of `page_rows` at most, so routers grow with the table and a node with a third
+of all vectors is no larger task than others. An entry holds a node's router, the router's distance to the parent's,
+the covering radius and the least distance of all vectors under it; a vector in a page holds its distance to the page's router.
+Entries and pages are tables, met by (node, group of queries); each is copied to the groups that ask for it and no others.
+
+Search, in two descents of blocks of queries. The first follows each query's best entries to its `near` most promising pages, and the
+k-th best score there bounds its radius. The second opens every entry whose bound lies within. Stored distances spare
 computations twice by the triangle inequality: |d(q, parent) - d(router, parent)| - radius passes over a node without
-its distance, |d(q, router) - d(v, router)| over a vector. Results are exact; the sample only shapes the tree.
+its distance, |d(q, router) - d(v, router)| over a vector. Results are exact; drawn routers only shape the tree.
 
-Cases: vectors that are null or hold a null, NaN or infinite component take no part, as queries or candidates; shorter ones
-count as filled up with zeros. Rows that repeat a vec_id count once. Ties go to the smaller vec_id. With fewer than k
-candidates all are returned. An empty table gives an empty result. Columns other than vec_id and embedding are ignored.
+Cases: vectors that are null or hold a null, NaN or infinite component take no part, as queries or candidates, nor do rows without
+vec_id; shorter vectors count as filled up with zeros. Every row that repeats a vec_id is a candidate of its own, though not for
+queries of the same vec_id; a vec_id that several query rows have gets the k best of all their scores. Ties go to the smaller
+vec_id. With fewer than k candidates all are returned. An empty table gives an empty result. Columns other than vec_id and
+embedding are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bandweave.llm.common import dropped, in_arrow, map_arrow, written
+from bandweave.llm.common import in_arrow, map_arrow, parts, written
+from bandweave.llm.words import mix
 
-SLACK = 1e-6  # of rounding, on distances
+#: Children's numbers take this many bits of a node's; the root is 0.
+BITS = 8
 
 
 def integers(column: pa.Array, scale: float, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,7 +51,8 @@ def integers(column: pa.Array, scale: float, dims: int) -> tuple[np.ndarray, np.
 
 
 def vectors(table: DataFrame, scale: float) -> tuple[DataFrame, int, float]:
-    """Table (vec_id, v array<double>) of integer vectors, the dimension, and the largest squared norm."""
+    """Table (row, vec_id, v array<double>) of integer vectors, row a number of its own for each, the dimension, and the largest
+    squared norm."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -57,14 +61,14 @@ def vectors(table: DataFrame, scale: float) -> tuple[DataFrame, int, float]:
 
         return step
 
-    once = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null").dropDuplicates(["vec_id"])
-    made = written(map_arrow(once, make, "vec_id long, v array<double>, norm double"), "vectors")
+    known = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
+    made = written(map_arrow(known, make, "vec_id long, v array<double>, norm double").withColumn("row", F.monotonically_increasing_id()), "vectors")
     top = made.agg(F.max("norm").alias("m"), F.max(F.size("v")).alias("d")).first()
-    return made.select("vec_id", "v"), top.d or 0, top.m or 0.0
+    return made.select("row", "vec_id", "v"), top.d or 0, top.m or 0.0
 
 
-def matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return integers(column, 1.0, dims)[1]
+def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    return integers(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column, 1.0, dims)[1]
 
 
 def lifted(v: np.ndarray, most: float) -> np.ndarray:
@@ -72,51 +76,17 @@ def lifted(v: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([v, np.sqrt(np.maximum(0.0, most - (v * v).sum(axis=1)))[:, None]], axis=1)
 
 
+def asking(v: np.ndarray) -> np.ndarray:
+    return np.concatenate([v, np.zeros((len(v), 1))], axis=1)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T))
 
 
-class Routers:
-    """The upper levels: routers, their parents among the first of them, parent distances; later radii."""
-
-    def __init__(self, sample: np.ndarray):
-        self.at = sample
-        self.tops = max(1, int(np.ceil(np.sqrt(len(sample)))))
-        to = distances(sample, sample[: self.tops])
-        to[np.arange(self.tops), np.arange(self.tops)] = 0
-        self.parent = to.argmin(axis=1)
-        self.parent[: self.tops] = np.arange(self.tops)
-        self.parent_distance = to[np.arange(len(sample)), self.parent]
-        self.least, self.most = np.full(len(sample), np.inf), np.full(len(sample), -np.inf)
-
-    def assign(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The router of each vector and the distance to it."""
-        upper = distances(v, self.at[: self.tops]).argmin(axis=1)
-        node, far = np.zeros(len(v), np.int64), np.zeros(len(v))
-        for p in np.unique(upper):
-            rows, under = np.flatnonzero(upper == p), np.flatnonzero(self.parent == p)
-            d = distances(v[rows], self.at[under])
-            node[rows], far[rows] = under[d.argmin(axis=1)], d.min(axis=1)
-        return node, far
-
-    def bounds(self, q: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For queries and nodes, the distance to the router where it had to be computed, and the least distance that a vector
-        of the node can have (infinite where the node is passed over)."""
-        upper = distances(q, self.at[: self.tops])
-        far, low = np.full((len(q), len(self.at)), np.nan), np.full((len(q), len(self.at)), np.inf)
-        for p in range(self.tops):
-            under = np.flatnonzero((self.parent == p) & np.isfinite(self.least))
-            if not len(under):
-                continue
-            by_parent = np.abs(upper[:, p][:, None] - self.parent_distance[under][None, :]) - self.most[under][None, :]
-            open_ = by_parent <= radius[:, None] + SLACK
-            rows, nodes = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
-            if len(rows) and len(nodes):
-                d = distances(q[rows], self.at[under[nodes]])
-                bound = np.maximum(0.0, np.maximum(d - self.most[under[nodes]], self.least[under[nodes]] - d))
-                bound[(bound > radius[rows][:, None] + SLACK) | ~open_[np.ix_(rows, nodes)]] = np.inf
-                far[np.ix_(rows, under[nodes])], low[np.ix_(rows, under[nodes])] = d, bound
-        return far, low
+def slack(dims: int, most: float) -> float:
+    """Of rounding, on distances: these are roots of differences of squares of up to `most`."""
+    return 4 * float(np.sqrt(np.finfo(float).eps * (dims + 2) * (most + 1)))
 
 
 def radius_of(q: np.ndarray, score: np.ndarray, most: float) -> np.ndarray:
@@ -124,6 +94,32 @@ def radius_of(q: np.ndarray, score: np.ndarray, most: float) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, (q * q).sum(axis=1) + most - 2 * score))
 
 
+def nearest(v: np.ndarray, routers: np.ndarray, row: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The router of each vector and the distance to it; equal routers share their vectors by a hash of the rows."""
+    own, kind = np.unique(routers, axis=0, return_inverse=True)
+    kind = kind.ravel()
+    d = distances(v, own)
+    which = d.argmin(axis=1)
+    order, n = np.argsort(kind, kind="stable"), np.bincount(kind)
+    first = np.concatenate([[0], np.cumsum(n)[:-1]])
+    deal = (mix(row.astype(np.uint64) + np.uint64(seed) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(1)).astype(np.int64)
+    return order[first[which] + deal % n[which]], d[np.arange(len(v)), which]
+
+
+def bounds(q: np.ndarray, far: np.ndarray, reach: np.ndarray, routers: np.ndarray, to_parent: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For queries at `far` from a node's router, and its entries: the distance to an entry's router where it had to be computed, and
+    the least distance that a vector under it can have, infinite where that is out of reach."""
+    d, low = np.full((len(q), len(routers)), np.nan), np.full((len(q), len(routers)), np.inf)
+    by_parent = np.abs(far[:, None] - to_parent[None, :]) - most[None, :] <= reach[:, None]
+    rows, nodes = np.flatnonzero(by_parent.any(axis=1)), np.flatnonzero(by_parent.any(axis=0))
+    if len(rows) and len(nodes):
+        to = distances(q[rows], routers[nodes])
+        bound = np.maximum(0.0, np.maximum(to - most[nodes], least[nodes] - to))
+        bound[(bound > reach[rows][:, None]) | ~by_parent[np.ix_(rows, nodes)]] = np.inf
+        d[np.ix_(rows, nodes)], low[np.ix_(rows, nodes)] = to, bound
+    return d, low
+
+
 def product(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
     """Exact inner products as int64: in doubles as long as these hold them."""
     return (a @ b.T).astype(np.int64) if most < 2**52 else a.astype(np.int64) @ b.astype(np.int64).T
@@ -139,6 +135,9 @@ def best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
 
 
 HITS = "query_id long, vec_id long, score long"
+ENTRY = "node long, parent long, v array<double>, to_parent double, n long, least double, most double"
+#: Queries that travel together to a node: their rows, vec_ids, vectors, distances to its router and floors of scores, packed.
+BLOCK = "node long, leaf boolean, row binary, ids binary, v binary, far binary, floor binary"
 
 
 def hits(queries: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
@@ -152,112 +151,172 @@ def top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def search(table: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64.0, routers: int = 4096, page_rows: int = 1024, near: int = 4, block: int = 256, group: int = 16_384, seed: int = 5) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each vector whose vec_id is divisible by `every`, the k others of the largest
-    inner products of floor(scale * x). block: queries that travel together; group: about how many meet a page in one task."""
-    spark = table.sparkSession
-    data, dims, most = vectors(table, scale)
-    rows = data.count()
-    if not rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    wanted = max(1, min(routers, rows // page_rows))
-    share = min(1.0, 2 * (wanted + 8) / rows)
-    sample = data.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))).orderBy(F.xxhash64(F.lit(seed), "vec_id")).limit(wanted).toArrow().combine_chunks()
-    if not sample.num_rows:
-        sample = data.orderBy("vec_id").limit(1).toArrow().combine_chunks()
-    tree = Routers(lifted(matrix(sample.column("v").combine_chunks(), dims), most))
-
-    def assign():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            node, far = tree.assign(lifted(matrix(batch.column("v"), dims), most))
-            return pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(node.astype(np.int32)), pa.array(far)], ["vec_id", "v", "node", "far"])
-
-        return step
-
-    leaves = written(map_arrow(data, assign, "vec_id long, v array<double>, node int, far double"), "leaves")
-    dropped(data)
-    pages = np.ones(len(tree.at), int)
-    for r in leaves.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("least"), F.max("far").alias("most")).collect():  # a row for each router
-        tree.least[r.node], tree.most[r.node], pages[r.node] = r.least, r.most, -(-r.n // page_rows)
-    counts = F.element_at(F.lit(pages.tolist()), F.col("node") + 1)
-    paged = leaves.withColumn("page", F.pmod(F.xxhash64("vec_id"), counts).cast("int"))
-
-    def own_page(page: pa.Table) -> pa.Table:
-        ids, v = page.column("vec_id").to_numpy(), matrix(page.column("v").combine_chunks(), dims)
-        mine = np.flatnonzero(ids % every == 0)
-        found = []
-        for i, score in zip(mine, product(v[mine], v, most), strict=True):
-            others = np.flatnonzero(ids != ids[i])
-            chosen = others[best(ids[others], score[others], k)]
-            found.append((ids[chosen], score[chosen]))
-        return hits(ids[mine], found)
-
-    def visit(queries: DataFrame, known: DataFrame, limit: int | None, seen: int) -> DataFrame:
-        """What the nodes that are open to the queries have to add: for each query the `limit` nearest nodes after the first
-        `seen`, or all after these."""
-        worst = known.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_score"))
-        worst = worst.select("query_id", F.when(F.col("_n") >= k, F.col("_score")).alias("floor"))
-        asked = queries.join(worst, "query_id", "left")
-
-        def blocks(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids, v = batch.column("query_id").to_numpy(), matrix(batch.column("v"), dims)
-                home, page = batch.column("node").to_numpy(), batch.column("page").to_numpy()
-                floor = batch.column("floor").to_numpy(zero_copy_only=False).astype(float)
-                floor[np.isnan(floor)] = -np.inf
-                q = np.concatenate([v, np.zeros((len(v), 1))], axis=1)
-                far, low = tree.bounds(q, radius_of(v, floor, most))
-                order = np.argsort(low, axis=1, kind="stable")
-                place = np.empty_like(order)
-                np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
-                open_ = np.isfinite(low) & (place >= seen) & (place < (seen + limit if limit is not None else low.shape[1]))
-                out = defaultdict(list)
-                for node in np.flatnonzero(open_.any(axis=0)):
-                    who = np.flatnonzero(open_[:, node])
-                    for lo in range(0, len(who), block):
-                        w = who[lo : lo + block]
-                        for name, value in (("node", int(node)), ("ids", ids[w].tobytes()), ("v", v[w].tobytes()), ("far", far[w, node].tobytes()), ("floor", floor[w].tobytes()), ("skip", np.where(home[w] == node, page[w], -1).astype(np.int64).tobytes())):
-                            out[name].append(value)
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("ids", "v", "far", "floor", "skip"))], ["node", "ids", "v", "far", "floor", "skip"])
-
-        sent = in_arrow(asked, blocks, "node int, ids binary, v binary, far binary, floor binary, skip binary")
-        groups = max(1, -(-asked_rows // group))
-        sent = sent.withColumn("group", F.pmod(F.xxhash64("node", "ids"), F.lit(groups)).cast("int")).withColumn("page", F.explode(F.sequence(F.lit(0), counts - 1)))
-        there = paged.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups > 1 else paged.withColumn("group", F.lit(0))
+def sized(small: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A table of numbers to be sent to all tasks, if it has no more rows than that; else to be joined as it is."""
+    return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
+
+
+class Tree:
+    """entries: ENTRY's rows of all nodes but the root; pages: (node, vec_id, row, v, far) of the leaves; depth: levels under the root."""
+
+    def __init__(self, data: DataFrame, dims: int, most: float, fanout: int, page_rows: int, group: int, seed: int):
+        self.dims, self.most, self.slack, self.depth = dims, most, slack(dims, most), 0
+        entries, pages, routers = [], [], None
+        now = data.withColumns({"node": F.lit(0).cast("long"), "far": F.lit(0.0)})
+
+        def assign(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return left.select(["row", "vec_id", "v", "node", "far"])
+            if not right.num_rows:
+                raise ValueError("a node without routers")
+            row = left.column("row").to_numpy()
+            which, far = nearest(lifted(matrix(left.column("v"), dims), most), lifted(matrix(right.column("v"), dims), most), row, seed + right.column("level")[0].as_py())
+            return pa.table([left.column("row"), left.column("vec_id"), left.column("v"), pa.array(right.column("node").to_numpy()[which]), pa.array(far)], ["row", "vec_id", "v", "node", "far"])
+
+        while True:
+            sizes = written(now.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("least"), F.max("far").alias("most")), "sizes")
+            if routers is not None:
+                entries.append(routers.join(sizes, "node").select(*(x.split()[0] for x in ENTRY.split(", "))))
+            large = sizes.where(F.col("n") > page_rows)
+            pages.append(now.join(sized(sizes.where(F.col("n") <= page_rows).select("node")), "node", "left_semi"))
+            if large.isEmpty():
+                break
+            self.depth += 1
+            kids = F.least(F.lit(fanout), F.ceil(F.col("n") * 2 / F.lit(page_rows))).cast("int")
+            large = sized(large.select("node", F.col("n").alias("_n"), kids.alias("_kids"), F.ceil(F.col("n") / F.lit(group)).cast("int").alias("_salts")))
+            own = now.join(large, "node")
+            hashed = F.xxhash64(F.lit(seed + self.depth), "row")
+            # Some more than are needed; the chance that none is drawn is e**-32.
+            drawn = own.where(F.pmod(hashed, F.lit(1 << 40)) / F.lit(float(1 << 40)) < (4 * F.col("_kids") + 32) / F.col("_n"))
+            drawn = drawn.withColumn("_j", F.row_number().over(Window.partitionBy("node").orderBy(hashed, "row"))).where("_j <= _kids")
+            routers = written(drawn.select((F.shiftleft("node", BITS) + F.col("_j")).alias("node"), F.col("node").alias("parent"), "v", F.col("far").alias("to_parent"), "_salts"), "routers")
+            dealt = own.withColumn("salt", F.pmod(F.xxhash64("row"), F.col("_salts")).cast("int")).drop("_n", "_kids", "_salts")
+            there = routers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).select("node", "parent", "v", "salt", F.lit(self.depth).alias("level"))
+            now = written(dealt.groupBy("node", "salt").cogroup(there.groupBy("parent", "salt")).applyInArrow(assign, "row long, vec_id long, v array<double>, node long, far double"), "level")
+        union = lambda tables: tables[0] if len(tables) == 1 else tables[0].unionByName(union(tables[1:]))
+        self.entries = written(union(entries), "entries") if entries else None
+        self.pages = written(union([p.select("node", "row", "vec_id", "v", "far") for p in pages]), "pages")
+        self.page_rows = page_rows
+
+    def descend(self, start: DataFrame, block: int, groups: int, near: int | None) -> DataFrame:
+        """Blocks at the root -> blocks at the pages that are open to their queries; near: only so many of the best pages of an
+        inner node, and its best inner node."""
+        dims, most, slack_, page_rows = self.dims, self.most, self.slack, self.page_rows
+
+        def step(entries: pa.Table, asked: pa.Table) -> pa.Table:
+            out: dict[str, list] = {x.split()[0]: [] for x in BLOCK.split(", ")}
+            if entries.num_rows:
+                routers, node = lifted(matrix(entries.column("v"), dims), most), entries.column("node").to_numpy()
+                to_parent, least, radius, n = (entries.column(c).to_numpy() for c in ("to_parent", "least", "most", "n"))
+                for r in asked.select([x.split()[0] for x in BLOCK.split(", ")]).to_pylist():
+                    v, rows, ids, far, floor = unpacked(r)
+                    d, low = bounds(asking(v), far, radius_of(v, floor, most) + slack_, routers, to_parent, least, radius)
+                    open_ = np.isfinite(low)
+                    if near is not None:
+                        open_ = best_entries(np.where(open_, low + 1e-6 * np.nan_to_num(d), np.inf), n <= page_rows, near)
+                    for at in np.flatnonzero(open_.any(axis=0)):
+                        packed(out, int(node[at]), bool(n[at] <= page_rows), np.flatnonzero(open_[:, at]), v, rows, ids, d[:, at], floor, block)
+            return pa.table([pa.array(out["node"], pa.int64()), pa.array(out["leaf"], pa.bool_()), *(pa.array(out[c], pa.binary()) for c in ("row", "ids", "v", "far", "floor"))], list(out))
+
+        reached, now = [], start
+        for level in range(self.depth):
+            inner = now.where("not leaf").withColumn("group", F.pmod(F.xxhash64("node", "row"), F.lit(groups)).cast("int"))
+            asked = inner.select(F.col("node").alias("parent"), F.col("group").alias("to")).distinct()
+            there = self.entries.join(asked, "parent")
+            now = written(there.groupBy("parent", "to").cogroup(inner.groupBy("node", "group")).applyInArrow(step, BLOCK), f"level-{level}")
+            reached.append(now.where("leaf"))
+        out = start if not reached else reached[0]
+        for more in reached[1:]:
+            out = out.union(more)
+        return out
+
+    def visit(self, blocks: DataFrame, k: int, groups: int) -> DataFrame:
+        """HITS: the k best that each page has for each query sent to it."""
+        dims, most, slack_ = self.dims, self.most, self.slack
 
         def meet(page: pa.Table, asked: pa.Table) -> pa.Table:
-            if not page.num_rows or not asked.num_rows:
-                return hits(np.empty(0, np.int64), [])
-            ids, v, far = page.column("vec_id").to_numpy(), matrix(page.column("v").combine_chunks(), dims), page.column("far").to_numpy()
-            number, who, found = page.column("page")[0].as_py(), [], []
-            for row in asked.select(["ids", "v", "far", "floor", "skip"]).to_pylist():
-                q_ids, q_far, floor, skip = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("far", float), ("floor", float), ("skip", np.int64)))
-                q = np.frombuffer(row["v"], float).reshape(len(q_ids), -1)
-                reach = radius_of(q, floor, most) + SLACK
-                open_ = (np.abs(q_far[:, None] - far[None, :]) <= reach[:, None]) & (skip != number)[:, None]
-                some = np.flatnonzero(open_.any(axis=0))
-                if not len(some):
-                    continue
-                score = product(q, v[some], most)
-                open_ = open_[:, some] & (score >= floor[:, None]) & (q_ids[:, None] != ids[some][None, :])
-                for i in np.flatnonzero(open_.any(axis=1)):
-                    at = np.flatnonzero(open_[i])
-                    chosen = at[best(ids[some[at]], score[i, at], k)]
-                    who.append(q_ids[i])
-                    found.append((ids[some[chosen]], score[i, chosen]))
+            who, found = [], []
+            if page.num_rows and asked.num_rows:
+                ids, c, far = page.column("vec_id").to_numpy(), matrix(page.column("v"), dims), page.column("far").to_numpy()
+                for r in asked.select([x.split()[0] for x in BLOCK.split(", ")]).to_pylist():
+                    v, _, q_ids, q_far, floor = unpacked(r)
+                    reach = radius_of(v, floor, most) + slack_
+                    open_ = np.abs(q_far[:, None] - far[None, :]) <= reach[:, None]
+                    some = np.flatnonzero(open_.any(axis=0))
+                    if not len(some):
+                        continue
+                    score = product(v, c[some], most)
+                    open_ = open_[:, some] & (score >= floor[:, None]) & (q_ids[:, None] != ids[some][None, :])
+                    for i in np.flatnonzero(open_.any(axis=1)):
+                        at = np.flatnonzero(open_[i])
+                        chosen = at[best(ids[some[at]], score[i, at], k)]
+                        who.append(q_ids[i])
+                        found.append((ids[some[chosen]], score[i, chosen]))
             return hits(np.array(who, np.int64), found)
 
-        return there.groupBy("node", "page", "group").cogroup(sent.groupBy("node", "page", "group")).applyInArrow(meet, HITS)
+        sent = blocks.withColumn("group", F.pmod(F.xxhash64("node", "row"), F.lit(groups)).cast("int"))
+        there = self.pages.join(sent.select("node", F.col("group").alias("to")).distinct(), "node")
+        return there.groupBy("node", "to").cogroup(sent.groupBy("node", "group")).applyInArrow(meet, HITS)
+
 
-    queries = paged.where(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id").select("query_id", "v", "node", "page")
-    asked_rows = queries.count()
-    known = written(top(paged.groupBy("node", "page").applyInArrow(own_page, HITS), k).drop("rank"), "own-page")
-    # The bound can only rise, so a node's place among a query's nodes stays when its radius shrinks.
-    known = written(top(known.union(visit(queries, known, near, 0)), k).drop("rank"), "near-nodes")
-    return top(known.union(visit(queries, known, None, near)), k).select("query_id", "rank", "vec_id", "score")
+def best_entries(low: np.ndarray, leaf: np.ndarray, near: int) -> np.ndarray:
+    """For each query the `near` leaves and the one inner node with the least values, if these are finite."""
+    out = np.zeros(low.shape, bool)
+    for kind, n in ((leaf, near), (~leaf, 1)):
+        at = np.flatnonzero(kind)
+        if len(at):
+            first = np.argsort(low[:, at], axis=1, kind="stable")[:, :n]
+            np.put_along_axis(out, at[first], True, axis=1)
+    return out & np.isfinite(low)
+
+
+def packed(out: dict[str, list], node: int, leaf: bool, q: np.ndarray, v: np.ndarray, rows: np.ndarray, ids: np.ndarray, far: np.ndarray, floor: np.ndarray, block: int) -> None:
+    """Adds the queries q, in blocks, to the columns of BLOCK."""
+    for lo in range(0, len(q), block):
+        w = q[lo : lo + block]
+        for name, value in (("node", node), ("leaf", leaf), ("row", rows[w].tobytes()), ("ids", ids[w].tobytes()), ("v", v[w].tobytes()), ("far", far[w].tobytes()), ("floor", floor[w].tobytes())):
+            out[name].append(value)
+
+
+def unpacked(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rows, ids, far, floor = (np.frombuffer(r[c], t) for c, t in (("row", np.int64), ("ids", np.int64), ("far", float), ("floor", float)))
+    return np.frombuffer(r["v"], float).reshape(len(rows), -1), rows, ids, far, floor
+
+
+def at_root(queries: DataFrame, dims: int, leaf: bool, block: int) -> DataFrame:
+    """Blocks of queries (row, query_id, v, floor) at the root."""
+
+    def run(batches):
+        for part in parts(batches, block):
+            out: dict[str, list] = {x.split()[0]: [] for x in BLOCK.split(", ")}
+            n, floor = part.num_rows, part.column("floor").to_numpy(zero_copy_only=False).astype(float)
+            floor = np.where(np.isnan(floor), -np.inf, floor)
+            packed(out, 0, leaf, np.arange(n), matrix(part.column("v"), dims), part.column("row").to_numpy(), part.column("query_id").to_numpy(), np.zeros(n), floor, block)
+            yield pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int64()), pa.array(out["leaf"], pa.bool_()), *(pa.array(out[c], pa.binary()) for c in ("row", "ids", "v", "far", "floor"))], list(out))
+
+    return in_arrow(queries.select("row", "query_id", "v", "floor"), run, BLOCK)
+
+
+def search(table: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64.0, fanout: int = 128, page_rows: int = 1024, near: int = 4, block_bytes: int = 1 << 17, group_bytes: int = 1 << 23, seed: int = 5) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each vector whose vec_id is divisible by `every`, the k others of the largest
+    inner products of floor(scale * x). block_bytes: vectors of queries that travel together; group_bytes: about how much of queries
+    meets a node in one task, and of vectors in a step of the building."""
+    data, dims, most = vectors(table, scale)
+    if not data.limit(1).count():
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if not 2 <= fanout < 1 << BITS:
+        raise ValueError("fanout: 2 to 255")
+    width = 8 * (dims + 1)
+    block, group = max(1, block_bytes // width), max(1, group_bytes // width)
+    tree = Tree(data, dims, most, fanout, page_rows, group, seed)
+    queries = data.where(F.col("vec_id") % every == 0).select("row", F.col("vec_id").alias("query_id"), "v")
+    groups = max(1, -(-queries.count() // group))
+    first = at_root(queries.withColumn("floor", F.lit(None).cast("long")), dims, not tree.depth, block)
+    found = written(top(tree.visit(tree.descend(first, block, groups, near), k, groups), k), "first")
+    floor = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    second = at_root(queries.join(floor, "query_id", "left"), dims, not tree.depth, block)
+    # All vectors of a score of the floor or more are under entries that are open now, those of the first descent among them.
+    return top(tree.visit(tree.descend(second, block, groups, None), k, groups), k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same rows in DuckDB's SQL.
