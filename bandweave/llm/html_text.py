@@ -12,6 +12,8 @@ class, id or role) are its labelled rows. Each is given twice, once without the
 text features carry pages without such elements. Weights start from and are drawn towards PRIOR, which stands alone
 where the sample has no labelled block.
 
+Formulas and drawings (math, svg) are text like any other, as is what noscript and object hold.
+
 Cases: null, empty and tag-only pages have the empty text. An unclosed script, style or comment runs to the end; an
 unclosed tag is dropped. Long pages are processed whole. Rows that repeat are treated alike. An empty table gives an
 empty result. Columns other than page_id, url and html are ignored.
@@ -32,12 +34,12 @@ from pyspark.sql import functions as F
 from bandweave.llm.common import map_arrow
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|title|textarea|svg|iframe|object|select|math)(?=[\s>/])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|title|textarea|iframe|select)(?=[\s>/])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][^\s>/]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr nobr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr nobr noscript object svg g text tspan math mi mn mo mrow ms mspace mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics annotation".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset("article main".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button head".split())
@@ -51,7 +53,6 @@ FENCE = frozenset("ul ol dl table div section article main aside nav body".split
 #: Weights before training: bias, then as in features().
 PRIOR = np.array([-0.3, 4.0, -5.0, 0.8, 0.6, -2.0, 0.5, 0.4, 0.3, -0.6, -2.0, 0.0])
 MARKED = slice(1, 3)  # the features that say in which elements a block is
-LIMIT = 8.0
 
 
 @dataclass
@@ -85,6 +86,7 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
     out: list[Block] = []
     parent = [0]
     stack: list[tuple[str, int, int]] = []  # (tag, number, mark)
+    places: dict[str, list[int]] = {}  # of each tag that is open, in the stack
     parts: list[str] = []
     linked = depth_a = 0
 
@@ -96,6 +98,14 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
         parts.clear()
         linked = 0
 
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
+    def close(i: int) -> None:
+        for tag, _, _ in stack[i:]:
+            places[tag].pop()
+        del stack[i:]
+
     def add(text: str) -> None:
         nonlocal linked
         parts.append(text)
@@ -120,23 +130,17 @@ def blocks(page: str) -> tuple[list[Block], list[int]]:
             continue
         flush()
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if (i := nearest((tag,))) >= 0:
+                close(i)
             depth_a = 0
             continue
         if stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES[tag]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in FENCE:
-                    break
+            close(len(stack) - 1)
+        if tag in CLOSES and (i := nearest(CLOSES[tag])) > nearest(FENCE):
+            close(i)
         if not m[4].endswith("/"):
             parent.append(stack[-1][1] if stack else 0)
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, len(parent) - 1, marked(tag, m[4], stack[-1][2] if stack else 0)))
     add(page[at:])
     flush()
@@ -184,10 +188,11 @@ def trained(x: np.ndarray, content: np.ndarray, steps: int = 400, rate: float =
     return w
 
 
-def distance(a: int, b: int, parent: list[int], most: int = 16) -> int:
-    """Steps between two elements in the tree, `most` at most. Numbers ascend from parent to child."""
+def distance(a: int, b: int, parent: list[int]) -> int:
+    """Steps between two elements in the tree. Numbers ascend from parent to child. Over all neighbours in the page the steps add up
+    to twice the tree at most."""
     steps = 0
-    while a != b and steps < most:
+    while a != b:
         a, b = (parent[a], b) if a > b else (a, parent[b])
         steps += 1
     return steps
@@ -294,8 +299,7 @@ def main_text(page: str | None, weights: np.ndarray, strength: float) -> str:
     if not found:
         return ""
     # log p - log(1 - p), the difference of the two costs, is the classifier's sum.
-    gain = np.clip(features(found) @ weights, -LIMIT, LIMIT)
-    return " ".join(b.text for b, yes in zip(found, cut(gain, edges(found, parent, strength)), strict=True) if yes)
+    return " ".join(b.text for b, yes in zip(found, cut(features(found) @ weights, edges(found, parent, strength)), strict=True) if yes)
 
 
 def labelled_blocks(pages: DataFrame) -> DataFrame:

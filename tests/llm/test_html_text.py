@@ -92,3 +92,37 @@ def test_distance():
 def test_long_page():
     page = "<article>" + "<p>Some words that make a paragraph of the text.</p>" * 20_000 + "</article><nav><a>x</a></nav>"
     assert text(page).count("Some words") == 20_000 and not text(page).endswith("x")
+
+
+@pytest.mark.parametrize("inside", ["<math><mi>x</mi></math>", "<svg><text>x</text></svg>", "<noscript>x</noscript>", "<object>x</object>"])
+def test_only_what_is_no_text_is_dropped(inside):
+    page = f"<article><p>Let {inside} be a value that is long enough to count as text.</p><script>var y</script></article>"
+    assert text(page) == "Let x be a value that is long enough to count as text."
+
+
+@pytest.mark.parametrize("tag", ["div", "x-y"])
+def test_end_tags_that_close_nothing_take_linear_time(tag):
+    import time
+
+    began = time.perf_counter()
+    text(f"<{tag}>" * 40_000 + "<p>a" + "</foo>" * 40_000 + "<li>b<tr>c" * 20_000)
+    assert time.perf_counter() - began < 20  # a minute and more if each looked through all open elements
+
+
+def unmarked(page):
+    """The page without what its elements say they are."""
+    page = H.re.sub(r"<(/?)(article|main|nav|footer|aside|header|section)\b", r"<\1div", page)
+    return H.re.sub(r"""\s(?:class|id|role|style)=("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def test_pages_without_marks():
+    """Blocks of pages whose elements say nothing, against what the same pages say with their elements."""
+    right = total = 0
+    for name in ("semantic", "classes", "cut off", "header"):
+        known, _ = H.blocks(PAGES[name])
+        found, parent = H.blocks(unmarked(PAGES[name]))
+        assert [b.text for b in found] == [b.text for b in known] and not any(b.mark for b in found)
+        label = H.cut(H.features(found) @ H.PRIOR, H.edges(found, parent, 1.0))
+        right += sum(bool(x) == (b.mark > 0) for x, b in zip(label, known, strict=True))
+        total += len(known)
+    assert right / total >= 0.75
