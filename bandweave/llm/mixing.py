@@ -12,8 +12,10 @@ level l with sum(min(l * weight, cap * words)) = all words, found by sorting sou
 
 Cases: a null text has no words. A null source is a source. Sources without words have target 0.
 Rows that repeat a doc_id are documents of their own, side by side in the order. Ties of keys are broken by doc_id,
-size and CRC of the text; rows equal in all of these are alike. An empty table gives an empty result. Further
-columns are carried by mix() unless they have a name that it adds (those are replaced).
+size and CRC of the text; rows equal in all of these are alike. Where ids repeat so often that a range grows to 16 times its
+size, its rows are dealt to parts by hash and the parts follow one another. An empty table gives an empty result. Further
+columns are carried by mix() unless they have a name that it adds (size, source_size, target, taken, copies: those are replaced).
+The targets are found in one task over one row for each source.
 """
 
 from __future__ import annotations
@@ -42,40 +44,52 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3)
     return ranked.withColumn("target", F.coalesce(level, F.col("_cap").cast("double"))).withColumn("budget", F.floor("target")).select("source", "source_size", "target", "budget")
 
 
-def mix(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: int = 3, range_rows: int = 512, seed: str = "mix") -> DataFrame:
-    """docs with size (words), source_size, target, taken (words, all epochs together) and copies: how
-    often the mix takes the document as a whole, where the one at the cut counts if half of it or more is
+def mix(docs: DataFrame, *, weights: Sequence[int] = (1, 2, 3), cap: int = 3, range_rows: int = 512, seed: str = "mix", carried: Sequence[str] | None = None) -> DataFrame:
+    """docs' columns (those of `carried`, if given) with size (words), source_size, target, taken (words, all epochs together) and
+    copies: how often the mix takes the document as a whole, where the one at the cut counts if half of it or more is
     before the cut. range_rows: about how many documents of a source are sorted together."""
-    most = docs.groupBy("source").count().agg(F.max("count").alias("n")).first().n or 0
-    bits = min(31, max(0, -(-most // range_rows) - 1).bit_length())
+    carried = [c for c in carried or docs.columns if c.lower() not in (*ADDED, "copies")]
+    # Rows travel as one column, so that no name of theirs meets one of these. Sizes are counted once, into a table.
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     named = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))  # never null, for joins
-    ranged = docs.drop(*ADDED).withColumns({"size": n_words(F.col("text")), "_key": key, "_source": named})
-    ranged = ranged.withColumn("_range", F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), 32 - bits) if bits else F.lit(0).cast("long"))
-    sums = written(ranged.groupBy("_source", "_range").agg(F.sum("size").alias("_words")), "mix-ranges")
-    source = F.expr("if(_source = '', null, substring(_source, 2))")
-    planned = targets(sums.groupBy("_source").agg(F.sum("_words").alias("source_size")).select(source.alias("source"), "source_size"), weights, cap)
-    planned = planned.withColumn("_source", named).drop("source")
-    ranges = prefix_sums(sums, ["_source"], "_range", "_words", "_before").drop("_words").join(planned, "_source")
-    inside = Window.partitionBy("_source", "_range").orderBy("_key", "doc_id", "size", "_crc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = ranged.withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")))).withColumn("_upto", F.sum("size").over(inside) - F.col("size"))
-    placed = placed.join(ranges, ["_source", "_range"]).withColumn("_at", F.col("_before") + F.col("_upto"))
-    placed = placed.withColumn("_epochs", F.expr("if(source_size = 0, 0L, budget div source_size)")).withColumn("_rest", F.expr("budget - _epochs * source_size"))
-    last = F.greatest(F.lit(0), F.least("size", F.col("_rest") - F.col("_at")))
-    placed = placed.withColumn("_last", last).withColumn("taken", (F.col("_epochs") * F.col("size") + F.col("_last")).cast("long"))
-    placed = placed.withColumn("copies", (F.col("_epochs") + F.expr("if(size > 0 and 2 * _last >= size, 1, 0)")).cast("int"))
-    return placed.select(*(c for c in docs.columns if c not in ADDED), *ADDED, "copies")
+    sized = docs.select(F.struct(*carried).alias("doc"), F.col("doc_id").alias("id"), named.alias("source"), n_words(F.col("text")).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("crc"), key.alias("key"), F.monotonically_increasing_id().alias("row"))
+    sized = written(sized, "mix-sizes")
+    most = sized.groupBy("source").count().agg(F.max("count").alias("n")).first().n or 0
+    bits = min(31, max(0, -(-most // range_rows) - 1).bit_length())
+    ranged = sized.withColumn("range", F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), 32 - bits) if bits else F.lit(0).cast("long"))
+    sums = written(ranged.groupBy("source", "range").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")), "mix-ranges")
+    at = ["source", "range", "part"]
+    full = sums.where(F.col("rows") > 16 * range_rows).select("source", "range", F.ceil(F.col("rows") / range_rows).cast("int").alias("parts"))
+    if full.isEmpty():
+        ranged, inner = ranged.withColumn("part", F.lit(0)), None
+    else:  # documents of one id, or without: they share a key, so their range is dealt to parts by hash
+        ranged = ranged.join(full, ["source", "range"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+        split = ranged.join(full.drop("parts"), ["source", "range"], "left_semi").groupBy(*at).agg(F.sum("size").alias("words"))
+        inner = prefix_sums(split, ["source", "range"], "part", "words", "in_range").drop("words")
+    planned = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")).select(F.expr("if(source = '', null, substring(source, 2))").alias("source"), "source_size"), weights, cap)
+    planned = planned.withColumn("source", named)
+    before = prefix_sums(sums.drop("rows"), ["source"], "range", "words", "before").drop("words").join(planned, "source")
+    inside = Window.partitionBy(*at).orderBy("key", "id", "size", "crc", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumn("upto", F.sum("size").over(inside) - F.col("size")).join(before, ["source", "range"])
+    placed = placed.withColumn("in_range", F.lit(0).cast("long")) if inner is None else placed.join(inner, at, "left")
+    placed = placed.withColumn("at", F.col("before") + F.coalesce("in_range", F.lit(0)) + F.col("upto"))
+    placed = placed.withColumn("epochs", F.expr("if(source_size = 0, 0L, budget div source_size)")).withColumn("rest", F.expr("budget - epochs * source_size"))
+    placed = placed.withColumn("last", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("at"))))
+    placed = placed.withColumn("taken", (F.col("epochs") * F.col("size") + F.col("last")).cast("long"))
+    placed = placed.withColumn("copies", (F.col("epochs") + F.expr("if(size > 0 and 2 * last >= size, 1, 0)")).cast("int"))
+    return placed.select(*(F.col("doc")[c].alias(c) for c in carried), *ADDED, "copies")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix, all columns of docs, each document as often as the mix takes it whole."""
-    return mix(docs, **options).withColumn("_copy", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), "copies")))).select(*docs.columns)
+    whole = docs.select(F.col("doc_id"), "source", "text", F.struct(*docs.columns).alias("whole"))
+    taken = mix(whole, carried=["whole"], **options)
+    return taken.select("whole", F.explode(F.when(F.col("copies") > 0, F.sequence(F.lit(1), "copies")))).select("whole.*")
 
 
 def mix_digests(docs: DataFrame, **options) -> DataFrame:
     """The mix without the texts."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
-    return mix(slim, **options).select("doc_id", *ADDED)
+    return mix(docs.withColumn("doc_id", F.col("doc_id").cast("long")), carried=["doc_id"], **options).select("doc_id", *ADDED)
 
 
 #: The same rows in DuckDB's SQL.

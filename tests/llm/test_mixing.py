@@ -72,3 +72,24 @@ def test_odd_rows(odd_documents, documents):
 def test_plan_is_native(odd_documents):
     plan = M.mix_digests(odd_documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_names_that_clash_are_carried(documents, spark):
+    docs = documents([(i, "w " * (i % 7)) for i in range(50)]).selectExpr("*", "doc_id + 1 as _key", "'x' as _source", "doc_id as row", "2 as range", "3 as copies", "4 as whole", "5 as part")
+    got = {r.doc_id: r for r in M.mixed(docs).collect()}
+    assert M.mixed(docs).columns == docs.columns and all((r._key, r._source, r.row, r.range, r.copies, r.whole, r.part) == (i + 1, "x", i, 2, 3, 4, 5) for i, r in got.items())
+    out = M.mix(docs)
+    assert out.columns == [*(c for c in docs.columns if c not in (*M.ADDED, "copies")), *M.ADDED, "copies"]
+    assert all((r._key, r.row) == (r.doc_id + 1, r.doc_id) for r in out.collect())
+
+
+def test_hot_ids_are_split(spark):
+    """Two thirds of all rows have no id or one id."""
+    docs = spark.range(3000).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 4L else id end as doc_id", "repeat('w ', 1 + cast(id % 4 as int)) as text", "if(id % 3 = 2, 'b', 'a') as source")
+    got = M.mix_digests(docs, range_rows=16).collect()
+    a, b = ([r for r in got if (r.doc_id in (None, 4)) == x] for x in (True, False))
+    for rows in (a, b):
+        assert sum(r.taken for r in rows) == int(rows[0].target) and {r.source_size for r in rows} == {sum(r.size for r in rows)}
+        low = min(r.taken // r.size for r in rows)
+        assert sum(r.taken % r.size > 0 for r in rows) <= 1 and all(r.taken // r.size in (low, low + 1) for r in rows)
+    assert sorted(map(str, got)) == sorted(map(str, M.mix_digests(docs, range_rows=16).collect()))
