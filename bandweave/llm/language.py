@@ -6,8 +6,7 @@ labels are learned together by maximum likelihood (Adagrad; the gradient by forw
 whole text gives every word its distribution over languages, so code-switched texts get a label for each word;
 a text's language is that with the most expected words.
 
-Learning uses a bounded sample: about `sample` texts of each language, chosen by a hash of doc_id, `sample_words` words of
-each. As a text has one label, sequences for training are put together from stretches of texts of several languages,
+Learning uses a bounded sample of rows: about `sample` whole texts of each language, chosen by a hash of doc_id. As a text has one label, sequences for training are put together from stretches of texts of several languages,
 from which the transitions are learned. Prediction covers whole texts.
 
 Cases: texts that are null or have no letter get `und` and score 0. Words without a letter take part in the chain and count
@@ -251,14 +250,13 @@ def predicted(column: pa.Array, model: Model, runs: bool = False) -> tuple[list[
     return lang, score, found
 
 
-def fit(docs: DataFrame, sample: int = 250, sample_words: int = 150, seed: int = 17) -> Model:
+def fit(docs: DataFrame, sample: int = 100, seed: int = 17) -> Model:
     """A model from documents (doc_id, text, lang) whose lang isn't null."""
     known = docs.where("lang is not null and text is not null")
     counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     unit = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, sample / n))) for x, n in sorted(counts.items()))) if counts else F.lit(0.0)
-    part = F.array_join(F.slice(F.split(F.trim("text"), "[\\x20\\x09-\\x0D]+"), 1, sample_words), " ")
-    got = known.where(unit < share).select("lang", part.alias("text")).collect()  # about sample * sample_words words of each language
+    got = known.where(unit < share).select("lang", "text").collect()  # about `sample` rows of each language
     return trained([(r.lang, r.text) for r in got])
 
 

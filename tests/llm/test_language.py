@@ -101,3 +101,12 @@ def test_odd_texts(odd_documents, documents, spark):
     assert one[3] == ("en", 1.0) and one[0] == ("und", 0.0)
     runs = L.identify(documents([(1, "the eux")]), model, runs=True).first().runs
     assert sum(r.words for r in runs) == 2
+
+
+def test_learns_from_whole_texts(spark):
+    """Texts that open in one language and go on in their own."""
+    rng = random.Random(9)
+    rows = [(i, text(rng, "aa", 160) + " " + text(rng, lang, 300), lang) for i in range(120) for lang in [("bb", "cc")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in L.identify_held_out(docs).collect()}
+    assert np.mean([got[i].lang_pred == lang for i, _, lang in rows if got[i].held_out]) >= 0.95
