@@ -5,9 +5,9 @@ from trusted documents, one from the whole raw corpus, give each text the mean o
 log(p_target / p_raw). A text whose mean is under the threshold is rejected; nothing is sampled at
 random. Simple counts of the text (few words, repeated windows of words) reject before that.
 
-The target is fitted, and the threshold set, on a bounded sample of labelled rows (`sample`, a parameter):
-about so many labelled documents, chosen by a hash of doc_id, of which three quarters make the target and one
-quarter, unseen by it, sets the threshold. The raw counts cover all texts.
+The raw counts cover all texts, the target's all trusted documents but those held back: a quarter of the labelled ones, by a
+hash of doc_id, all of which set the threshold by a histogram of their scores. Labels are sent to all tasks if there are no more
+than `broadcast_rows`, and joined with the documents by a shuffle otherwise, with the same result.
 
 Cases: a null text counts as empty; a text without words has no n-gram, score 0 and fails the base rules.
 Rows with equal doc_id are judged one by one. Without labels of either kind the threshold is -inf (the
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandweave.llm import words as W
-from bandweave.llm.common import in_arrow, map_arrow, parts
+from bandweave.llm.common import in_arrow, map_arrow, parts, written
 
 U64 = np.uint64
 SYMBOL = np.zeros(256, bool)
@@ -137,15 +137,17 @@ def scored(docs: DataFrame, ratios: np.ndarray, threshold: float) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, SCHEMA)
 
 
-def best_threshold(score: np.ndarray, good: np.ndarray, cost: float) -> float:
+def best_threshold(score: np.ndarray, good: np.ndarray, cost: float, n: np.ndarray | None = None) -> float:
     """The cut with the least cost, where rejecting a good document costs `cost` times as much as
-    keeping a bad one; midway between the neighbouring scores. -inf without documents of both kinds."""
+    keeping a bad one; midway between the neighbouring scores. n: how many documents each score stands for. -inf without
+    documents of both kinds."""
     if not len(score) or good.all() or not good.any():
         return -np.inf
     order = np.argsort(score, kind="stable")
-    score, good = score[order], good[order]
-    lost, caught = (np.concatenate([[0], np.cumsum(x)]) / x.sum() for x in (good, ~good))  # by the rows under the cut
-    cut = int(np.argmin(cost * lost - caught))
+    score, good, n = score[order], good[order], np.ones(len(score)) if n is None else n[order]
+    edge = np.concatenate([[True], score[1:] != score[:-1], [True]])  # cuts between different scores
+    lost, caught = (np.concatenate([[0], np.cumsum(x * n)]) / (x * n).sum() for x in (good, ~good))  # by the rows under the cut
+    cut = int(np.argmin(np.where(edge, cost * lost - caught, np.inf)))
     return float(-np.inf if cut == 0 else (score[cut - 1] + score[min(cut, len(score) - 1)]) / 2)
 
 
@@ -154,33 +156,36 @@ def hash_unit(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bins: int, sample: int, cost: float, seed: int) -> tuple[np.ndarray, float]:
+#: Scores of held back documents are counted in steps of 1 / STEPS; a score lies between -7 and the log of the corpus' n-grams.
+STEPS = 1024
+
+
+def fit(docs: DataFrame, labels: DataFrame, bins: int, cost: float, seed: int, broadcast_rows: int) -> tuple[np.ndarray, float]:
     """Log ratios and threshold. labels: doc_id, quality (1: trusted)."""
-    clean = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    share = min(1.0, sample / max(1, clean.count()))
-    chosen = clean.where(hash_unit(F.col("doc_id"), seed) < share).withColumn("fold", hash_unit(F.col("doc_id"), seed + 1) < 0.75)
+    clean = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 1).alias("good"))
+    clean = written(clean.withColumn("fold", hash_unit(F.col("doc_id"), seed) < 0.75), "labels")
+    clean = F.broadcast(clean) if clean.count() <= broadcast_rows else clean
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # The share leaves about `sample` ids of any number, so they can be sent to every task and no text is shuffled.
-    flagged = texts.join(F.broadcast(chosen), "doc_id", "left")
-    ratios = log_ratios(ngram_counts(flagged.withColumn("trusted", F.expr("quality = 1 and fold")), bins), bins)
-    held = texts.join(F.broadcast(chosen.where("not fold").select("doc_id")), "doc_id")
-    got = scored(held, ratios, -np.inf).where("not base_failed").join(F.broadcast(chosen), "doc_id").select("score", (F.col("quality") == 1).alias("good")).toArrow()
-    return ratios, best_threshold(np.asarray(got.column("score")), np.asarray(got.column("good"), bool), cost)
-
-
-def judge_documents(docs: DataFrame, labels: DataFrame, *, bins: int = 1 << 16, sample: int = 20_000, cost: float = 20.0, seed: int = 7) -> DataFrame:
-    """Counts, score and verdict of every document. bins: hash buckets, a power of two; sample: about
-    how many labelled documents are used; cost: how much worse it is to lose a good document than to
-    keep a bad one."""
+    ratios = log_ratios(ngram_counts(texts.join(clean, "doc_id", "left").withColumn("trusted", F.expr("good and fold")), bins), bins)
+    held = clean.where("not fold").select("doc_id", "good")
+    got = scored(texts.join(held, "doc_id"), ratios, -np.inf).where("not base_failed").join(held, "doc_id")
+    got = got.groupBy(F.floor(F.col("score") * STEPS).alias("step"), "good").count().toArrow()  # two rows for each step
+    step, good, n = (got.column(c).to_numpy() for c in ("step", "good", "count"))
+    return ratios, float(np.ceil(best_threshold(step.astype(float), good.astype(bool), cost, n)) / STEPS)
+
+
+def judge_documents(docs: DataFrame, labels: DataFrame, *, bins: int = 1 << 16, cost: float = 20.0, seed: int = 7, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Counts, score and verdict of every document. bins: hash buckets, a power of two; cost: how much worse it is to lose a
+    good document than to keep a bad one."""
     if bins & (bins - 1):
         raise ValueError("bins must be a power of two")
-    ratios, threshold = fit(docs, labels, bins, sample, cost, seed)
+    ratios, threshold = fit(docs, labels, bins, cost, seed, broadcast_rows)
     return scored(docs, ratios, threshold)
 
 
-def keep_documents(docs: DataFrame, labels: DataFrame, *, bins: int = 1 << 16, sample: int = 20_000, cost: float = 20.0, seed: int = 7) -> DataFrame:
+def keep_documents(docs: DataFrame, labels: DataFrame, *, bins: int = 1 << 16, cost: float = 20.0, seed: int = 7, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The rows of docs, all columns, that judge_documents() keeps; the texts move nowhere."""
-    ratios, threshold = fit(docs, labels, bins, sample, cost, seed)
+    ratios, threshold = fit(docs, labels, bins, cost, seed, broadcast_rows)
     shared, at = docs.sparkSession.sparkContext.broadcast(ratios), docs.columns.index("text")
 
     def make():
@@ -190,3 +195,23 @@ def keep_documents(docs: DataFrame, labels: DataFrame, *, bins: int = 1 << 16, s
         return step
 
     return map_arrow(docs, make, docs.schema)
+
+
+#: The counts in DuckDB's SQL.
+BASE_ORACLE = """
+with split as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x : x <> '') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x : regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l
+  from documents),
+windows as (
+  select r, unnest(range(1, len(w) - 3)) as i, unnest(list_transform(range(1, len(w) - 3), lambda k : array_to_string(w[k : k + 4], ' '))) as x from split where len(w) >= 6),
+twice as (select r, i from (select r, i, count(*) over (partition by r, x) as n from windows) where n > 1),
+covered as (select r, count(distinct i + k) as n from twice, range(5) s(k) group by r),
+counted as (
+  select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
+    cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words
+  from split left join covered using (r))
+select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from counted
+"""

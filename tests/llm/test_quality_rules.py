@@ -75,3 +75,19 @@ def test_threshold():
     assert Q.best_threshold(score, good, 20) == 2.5
     assert Q.best_threshold(score, np.ones(5, bool), 20) == -np.inf
     assert Q.best_threshold(score, ~good, 20) == -np.inf
+
+
+def test_threshold_of_counted_scores():
+    rng = np.random.default_rng(4)
+    score, good = rng.integers(0, 12, 300).astype(float), rng.random(300) < 0.8
+    values, n = np.unique(np.stack([score, good]), axis=1, return_counts=True)
+    cut = Q.best_threshold(values[0], values[1].astype(bool), 3, n)
+    cost = lambda c: 3 * (good & (score < c)).sum() / good.sum() - (~good & (score < c)).sum() / (~good).sum()
+    assert cost(cut) == pytest.approx(min(cost(c - 0.5) for c in range(14)))
+
+
+def test_labels_of_any_number_give_the_same(documents, spark):
+    rows = corpus()
+    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i, _ in rows if i < 250], "doc_id long, quality int, toxic int")
+    same = [sorted(map(tuple, Q.judge_documents(documents(rows), labels, broadcast_rows=n).collect())) for n in (0, 1000)]
+    assert same[0] == same[1]
