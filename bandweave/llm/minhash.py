@@ -10,15 +10,17 @@
    similarity s to the pivot has s - (1 - threshold) or more itself. So nodes of `near` - (1 - threshold) or more join
    the pivot's cluster, nodes under `near` stay in the bucket for another pivot, and no link falls between.
    After `rounds` pivots the rest of a bucket is one cluster.
-3. Within clusters, and only there, links are sought: small clusters whole, large ones in blocks of nodes of
-   like set size, of which two that can hold links meet in one task. A task gives back no more than a spanning
-   forest of its links, which is all that components need.
-4. Components of the forests, by distributed star steps; each document gets its node's.
+3. Nodes at the threshold or more from a pivot are linked for good. Within clusters, and only there, the other links are sought,
+   between nodes that those links haven't joined yet: clusters that are one component are done, small ones meet whole, large ones
+   in blocks of nodes of like set size, of which two that can hold links meet in one task. Blocks of the cluster's largest
+   component don't meet each other, so a group of copies costs its size times what is left over, not its square. A
+   task gives back no more than a spanning forest of its links, which is all that components need.
+4. Components of all links, by distributed star steps; each document gets its node's.
 
 Cases: ASCII letters are lower-cased first. A text with fewer words than a shingle has its whole sequence as its
 one shingle; null, empty and wordless texts have none and are linked with nothing. Rows that repeat a doc_id
-count as one document (each row gets its result). A null doc_id has no component to name: such rows are
-refused, or with null_ids=True (the query and deduplicated()) linked with nothing and kept, their component null. An empty table gives an empty result. Columns other than doc_id and text are ignored.
+count as one document, whose set for links is the smallest of theirs (each row gets its result). A null doc_id has no component to
+name: such rows are linked with nothing and kept, their component null. An empty table gives an empty result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandweave.llm import words as W
@@ -133,30 +135,45 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs, make, "node long, n long, set array<long>")
 
 
-def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def met(many: DataFrame, one: DataFrame, key: str, hot: int, broadcast_rows: int) -> DataFrame:
+    """many join one, which has a row for each key. Keys of more than `hot` rows are dealt to parts by the hash of the node, and their
+    row of `one` is copied to these; there are no more such keys than rows / hot."""
+    heavy = written(many.groupBy(key).count().where(F.col("count") > hot).select(key, F.ceil(F.col("count") / hot).cast("int").alias("_parts")), "heavy")
+    n = heavy.count()
+    if not n:
+        return many.join(one, key)
+    heavy = F.broadcast(heavy) if n <= broadcast_rows else heavy
+    dealt = many.join(heavy, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64("node"), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    copied = one.join(heavy, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"]).drop("_part")
+
+
+def similarities(pairs: DataFrame, sets: DataFrame, hot: int, broadcast_rows: int) -> DataFrame:
     """pairs (pivot, node) with the sizes of intersection and union of their full sets."""
     one = pairs.join(sets.select("node", "n", F.col("set").alias("_set")), "node")
-    both = one.join(sets.select(F.col("node").alias("pivot"), F.col("n").alias("_pivot_n"), F.col("set").alias("_pivot_set")), "pivot")
+    pivots = pairs.select(F.col("pivot").alias("node")).distinct().join(sets, "node").select(F.col("node").alias("pivot"), F.col("n").alias("_pivot_n"), F.col("set").alias("_pivot_set"))
+    both = met(one, pivots, "pivot", hot, broadcast_rows)
     common = both.withColumn("both", F.size(F.array_intersect("_set", "_pivot_set")).cast("long"))
     return common.select("pivot", "node", "both", (F.col("n") + F.col("_pivot_n") - F.col("both")).alias("either"))
 
 
-def clustered(buckets: DataFrame, sets: DataFrame, percent: int, near: int, rounds: int, used: list[DataFrame]) -> DataFrame:
-    """buckets (band, node) -> edges (a, b) that hold together all nodes that a bucket's links can join. used: gets the
-    tables that the edges are read from."""
-    edges = None
+def clustered(buckets: DataFrame, sets: DataFrame, percent: int, near: int, rounds: int, hot: int, broadcast_rows: int, used: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """buckets (band, node) -> edges (a, b) that hold together all nodes that a bucket's links can join, and those of them that
+    are links. used: gets the tables that the edges are read from."""
+    edges = linked = None
     for _ in range(rounds):
         pivots = buckets.groupBy("band").agg(F.min("node").alias("pivot"))
-        pairs = buckets.join(pivots, "band").where("node <> pivot")
-        known = written(similarities(pairs.select("pivot", "node").distinct(), sets), "similarities")
-        joined = known.where(f"100 * both >= {near - 100 + percent} * either").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        edges = joined if edges is None else edges.union(joined)
+        pairs = written(met(buckets, pivots, "band", hot, broadcast_rows).where("node <> pivot"), "pairs")
+        known = written(similarities(pairs.select("pivot", "node").distinct(), sets, hot, broadcast_rows), "similarities")
+        pair = known.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "both", "either")
+        joined, link = (pair.where(f"100 * both >= {x} * either").select("a", "b") for x in (near - 100 + percent, percent))
+        edges, linked = (joined, link) if edges is None else (edges.union(joined), linked.union(link))
         left = pairs.join(known.where(f"100 * both < {near} * either").select("pivot", "node"), ["pivot", "node"], "left_semi").select("band", "node")
         again = left.groupBy("band").agg(F.min("node").alias("_min"), F.max("node").alias("_max")).where("_min <> _max").select("band")
         buckets = written(left.join(again, "band"), "buckets")
-        used += (known, buckets)
+        used += (pairs, known, buckets)
     rest = buckets.join(buckets.groupBy("band").agg(F.min("node").alias("pivot")), "band").where("node <> pivot")
-    return edges.union(rest.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+    return edges.union(rest.select(F.col("pivot").alias("a"), F.col("node").alias("b"))), linked
 
 
 def forest(set_of: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -196,27 +213,36 @@ def forest(set_of: list[np.ndarray], side: np.ndarray, percent: int) -> list[tup
 
 
 def links(clusters: DataFrame, sets: DataFrame, percent: int, block: int, block_shingles: int, used: list[DataFrame]) -> DataFrame:
-    """clusters (node, cluster) -> edges (a, b) of forests of the links within clusters. used: gets the tables that the
-    edges are read from."""
+    """clusters (node, cluster, part) -> edges (a, b) of forests of the links within clusters between nodes of different parts, and
+    maybe of others. used: gets the tables that the edges are read from."""
     known = clusters.join(sets.select("node", "n"), "node")
-    totals = known.groupBy("cluster").agg(F.count(F.lit(1)).alias("_nodes"), F.sum("n").alias("_all"))
+    parts = known.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("_of"), F.sum("n").alias("_sum"))
+    totals = parts.groupBy("cluster").agg(F.sum("_of").alias("_nodes"), F.sum("_sum").alias("_all"), F.count(F.lit(1)).alias("_parts"), F.max_by("part", F.struct("_of", "part")).alias("_main")).where("_parts > 1")
     # Linked sets differ in size by less than the threshold's factor, so by one grade at most.
     grade = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)))
     whole = (F.col("_nodes") <= block) & (F.col("_all") <= block_shingles)
-    graded = written(known.join(totals, "cluster").withColumn("grade", F.when(whole, -1).otherwise(grade).cast("int")).select("node", "cluster", "n", "grade"), "graded")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block), F.sum("n") / F.lit(block_shingles))).cast("int")
-    counts = written(graded.groupBy("cluster", "grade").agg(blocks.alias("_k")), "grades")
+    graded = known.join(totals, "cluster").withColumn("grade", F.when(whole, -1).otherwise(grade).cast("int")).withColumn("main", ~whole & (F.col("part") == F.col("_main")))
+    graded = written(graded.select("node", "cluster", "n", "grade", "main"), "graded")
+    of = lambda main: F.ceil(F.greatest(F.count_if(F.col("main") == main) / F.lit(block), F.sum(F.when(F.col("main") == main, F.col("n")).otherwise(0)) / F.lit(block_shingles))).cast("int")
+    counts = written(graded.groupBy("cluster", "grade").agg(of(True).alias("_m"), of(False).alias("_o")), "grades")
     used += (graded, counts)
-    own = F.pmod(F.xxhash64("node"), F.col("_k")).cast("int")
-    beside = lambda d, name: counts.select("cluster", (F.col("grade") - d).alias("grade"), F.col("_k").alias(name)).where("grade >= -1")
+    # A grade's blocks: those of the main component first.
+    own = F.when(F.col("main"), F.pmod(F.xxhash64("node"), F.col("_m"))).otherwise(F.col("_m") + F.pmod(F.xxhash64("node"), F.col("_o"))).cast("int")
+    beside = lambda d, name: counts.select("cluster", (F.col("grade") - d).alias("grade"), F.col("_m").alias(f"{name}_m"), F.col("_o").alias(f"{name}_o")).where("grade >= -1")
     placed = graded.join(counts, ["cluster", "grade"]).withColumn("own", own)
     placed = placed.join(beside(1, "_up").where("grade >= 0"), ["cluster", "grade"], "left").join(beside(-1, "_down").where("grade > 0"), ["cluster", "grade"], "left")
     place = lambda grade, i, up, j, side: F.struct(grade.alias("grade"), i.alias("i"), up.alias("up"), j.alias("j"), side.alias("side"))
     zero, one, g = F.lit(0), F.lit(1), F.col("grade")
+
+    def blocks(name: str, make) -> Column:
+        """make(j) for the blocks of a grade that a node meets: all of them, or those that aren't of the main component."""
+        first, k = F.when(F.col("main"), F.col(f"{name}_m")).otherwise(0), F.col(f"{name}_m") + F.col(f"{name}_o")
+        return F.when(first < k, F.transform(F.sequence(first, k - 1), make)).otherwise(F.expr("array()"))
+
     # Two blocks of a grade meet as (i, j), i <= j; those of neighbouring grades as (i below, j above).
-    same = F.transform(F.sequence(zero, F.col("_k") - 1), lambda j: place(g, F.least("own", j), zero, F.greatest("own", j), F.when(F.col("own") <= j, 0).otherwise(1)))
-    up = F.when(F.col("_up").isNotNull(), F.transform(F.sequence(zero, F.col("_up") - 1), lambda j: place(g, F.col("own"), one, j, zero))).otherwise(F.expr("array()"))
-    down = F.when(F.col("_down").isNotNull(), F.transform(F.sequence(zero, F.col("_down") - 1), lambda j: place(g - 1, j, one, F.col("own"), one))).otherwise(F.expr("array()"))
+    same = blocks("", lambda j: place(g, F.least("own", j), zero, F.greatest("own", j), F.when(F.col("own") <= j, 0).otherwise(1)))
+    up = blocks("_up", lambda j: place(g, F.col("own"), one, j, zero))
+    down = blocks("_down", lambda j: place(g - 1, j, one, F.col("own"), one))
     tasks = placed.select("node", "cluster", F.explode(F.concat(same, up, down)).alias("t")).select("node", "cluster", "t.*")
     key = ["cluster", "grade", "up", "i", "j"]
     dealt = tasks.join(sets.select("node", "set"), "node").repartition(*key).sortWithinPartitions(*key)
@@ -253,12 +279,10 @@ def links(clusters: DataFrame, sets: DataFrame, percent: int, block: int, block_
     return in_arrow(dealt, run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-7, near: int = 40, rounds: int = 2, block: int = 512, block_shingles: int = 400_000, broadcast_rows: int = 200_000, null_ids: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows: int = 4, miss: float = 1e-7, near: int = 40, rounds: int = 2, block: int = 512, block_shingles: int = 400_000, broadcast_rows: int = 200_000, hot: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept). width: words of a shingle; percent: the least Jaccard
-    similarity of a link; null_ids: rows without doc_id are taken; the rest is in the module's description."""
+    similarity of a link; hot: rows of a key that go to one part of a join; the rest is in the module's description."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    if not null_ids:
-        texts = texts.where(F.assert_true(F.col("doc_id").isNotNull()).isNull())
     every = written(signed(texts, width, rows, band_count(percent, rows, miss)), "signatures")
     signs = every.where("doc_id is not null")
     copies = written(signs.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("_max")).where("node <> _max").drop("_max"), "copies")
@@ -269,22 +293,27 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
     wanted = written(buckets.select(F.col("node").alias("doc_id")).distinct(), "candidates")
     few = wanted.count() <= broadcast_rows
     chosen = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = written(shingle_sets(chosen, width).dropDuplicates(["node"]), "sets")
+    sets = shingle_sets(chosen, width).groupBy("node").agg(F.min(F.struct("n", "set")).alias("_set")).select("node", "_set.n", "_set.set")
+    sets = written(sets, "sets")
     used = [buckets, wanted, sets]
-    roots = components(clustered(buckets, sets, percent, near, rounds, used))
-    clusters = written(roots.select("node", F.col("root").alias("cluster")).union(roots.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct()), "clusters")
-    found = components(links(clusters, sets, percent, block, block_shingles, used)).withColumnRenamed("root", "_root")
-    for table in (*used, roots, clusters):  # the result is read from signs, copies and found
+    edges, linked = clustered(buckets, sets, percent, near, rounds, hot, broadcast_rows, used)
+    roots, parts = components(edges), components(linked)
+    whole = roots.select("node", F.col("root").alias("cluster")).union(roots.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
+    clusters = written(whole.join(parts, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("part")), "clusters")
+    more = links(clusters, sets, percent, block, block_shingles, used)
+    joined = parts.select(F.col("root").alias("a"), F.col("node").alias("b"))  # the links to pivots, as stars
+    found = components(joined.union(more)).withColumnRenamed("root", "_root")
+    for table in (*used, roots, parts, clusters):  # the result is read from signs, copies and found
         dropped(table)
     component = F.coalesce("_root", "node")
     out = member.select("doc_id", "n", "node").join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
     alone = every.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    return out.unionByName(alone) if null_ids else out
+    return out.unionByName(alone)
 
 
 def deduplicated(docs: DataFrame, *, broadcast_rows: int = 200_000, **options) -> DataFrame:
     """One row of docs, all columns, for each group of near duplicates: that of the smallest doc_id; and all rows without one."""
-    found = written(near_duplicates(docs, broadcast_rows=broadcast_rows, null_ids=True, **options).where("doc_id is not null"), "near-duplicates")
+    found = written(near_duplicates(docs, broadcast_rows=broadcast_rows, **options).where("doc_id is not null"), "near-duplicates")
     sized = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_rows else ids
     repeated = written(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     out = docs.join(sized(written(found.where("not kept").select("doc_id").distinct(), "dropped")), "doc_id", "left_anti")

@@ -55,7 +55,7 @@ def near_copies(seed, groups=12, copies=14, size=60):
     return [(i * 3 + 1, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("width", "percent", "options"), [(3, 85, {}), (5, 80, {}), (3, 85, dict(block=4, rounds=1)), (3, 60, dict(block=5, block_shingles=200, rounds=3, broadcast_rows=0))])
+@pytest.mark.parametrize(("width", "percent", "options"), [(3, 85, {}), (5, 80, {}), (3, 85, dict(block=4, rounds=1, hot=5)), (3, 60, dict(block=5, block_shingles=200, rounds=3, broadcast_rows=0))])
 def test_equals_all_pairs(documents, width, percent, options):
     rows = near_copies(percent + width, groups=8 if options else 12)
     got = M.near_duplicates(documents(rows), width=width, percent=percent, **options).collect()
@@ -88,8 +88,6 @@ def test_odd_rows(odd_documents, spark):
     out = M.deduplicated(odd_documents, width=3, percent=85)
     assert out.columns == odd_documents.columns
     assert sorted(r.doc_id for r in out.collect()) == sorted(i for i, (_, c) in want.items() if c == i)  # the row that is there twice stays once
-    with pytest.raises(Exception, match="is not true"):
-        M.near_duplicates(spark.createDataFrame([(None, "a b c")], "doc_id long, text string")).collect()
 
 
 def test_signature_estimates_similarity():
@@ -137,9 +135,34 @@ def test_components(spark):
 
 def test_rows_without_id(documents):
     rows = [(1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "a b c d"), (None, None), (3, "x y z")]
-    got = [tuple(r) for r in M.near_duplicates(documents(rows), width=3, percent=85, null_ids=True).collect()]
+    got = [tuple(r) for r in M.near_duplicates(documents(rows), width=3, percent=85).collect()]
     want = [(1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (None, 2, None, True), (None, 2, None, True), (None, 0, None, True)]
     assert sorted(got, key=str) == sorted(want, key=str)
     kept = sorted((r.doc_id, r.text) for r in M.deduplicated(documents([*rows, (1, "a b c d")]), width=3, percent=85).collect() if r.doc_id is not None)
     assert kept == [(1, "a b c d"), (3, "x y z")]
     assert M.deduplicated(documents([*rows, (1, "a b c d")]), width=3, percent=85).where("doc_id is null").count() == 3
+
+
+def test_rows_that_repeat_an_id(documents):
+    """Whatever the order of the rows, the smallest set of an id is the one that is compared."""
+    base = [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "x"])), (2, " ".join(f"c{i}" for i in range(80))), (3, " ".join(f"c{i}" for i in range(79)))]
+    results = {tuple(sorted(map(tuple, M.near_duplicates(documents(order).repartition(n), width=3, percent=85).collect()))) for order, n in ((rows, 1), (rows[::-1], 3))}
+    assert len(results) == 1
+    assert {r[2] for r in next(iter(results)) if r[0] in (1, 2) and r[1] == 58} == {1}
+
+
+def test_a_group_that_is_linked_to_its_pivot_is_not_compared_again(spark, documents):
+    """Copies with one changed word each, far more than a block holds: no sets travel after the pivots."""
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join([*base[: (k := rng.randrange(100))], f"x{i}", *base[k + 1 :]])) for i in range(200)]
+    docs = documents(rows)
+    sets = M.shingle_sets(docs.select("doc_id", "text"), 3)
+    seen = []
+    links, M.links = M.links, lambda clusters, *a: (seen.append(clusters.groupBy("cluster").agg(M.F.count_distinct("part").alias("n")).where("n > 1").count()), links(clusters, *a))[1]
+    try:
+        got = M.near_duplicates(docs, width=3, percent=85, block=16, hot=20).collect()
+    finally:
+        M.links = links
+    assert {r.component_id for r in got} == {0} and sets.count() == 200 and seen == [0]
