@@ -10,7 +10,8 @@ of `capacity` ids, of which the first may be shorter. Pieces are packed best-fit
    Walking down this order, every piece gets its successor: the smallest gap above it with a place that no piece of
    a higher rank has taken. These are the pairs of a bracket sequence, gaps opening and pieces closing: a task matches
    those of its own range, what it leaves is so many pieces and then so many places, and pairs across ranges follow from the
-   two counts of each range alone. So a sweep's result depends on the order, not on the number of ranges.
+   two counts of each range alone. So a sweep's result depends on the order, not on the number of ranges, of which there is one for
+   each `range_rows` pieces and places. Where one range holds them all, its task goes on from sweep to sweep by itself.
 3. Gaps are updated, and the class is swept again as long as pieces are open. Where no gap takes the smallest of them, new
    sequences are opened: as many as the open pieces' ids fill, or one for each piece of over half of the capacity.
 4. The sweeps in which its pieces came, and their places there, give the order inside a sequence.
@@ -153,32 +154,89 @@ def crossings(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int
     return out
 
 
+def joined(pieces: DataFrame, places: DataFrame) -> DataFrame:
+    """OF_PLACE and OF_PIECE of both: places have no piece, pieces no place."""
+    sides = pieces.withColumns({c: F.lit(None).cast("long") for c in OF_PLACE}), places.withColumn("row", F.lit(None).cast("long"))
+    return sides[0].unionByName(sides[1], allowMissingColumns=True).select(*OF_PLACE, *OF_PIECE)
+
+
+def records(whole: pa.Table, places: dict[str, np.ndarray], met: list[tuple[np.ndarray | None, np.ndarray | None]], sweep: int, part: int) -> Iterator[pa.RecordBatch]:
+    """MET's rows for (positions in places, rows of whole) of pairs, open pieces (None, ...) and places left (..., None)."""
+    names = [x.split()[0] for x in MET.split(", ")]
+    kinds = [pa.int64() if x.split()[1] == "long" else pa.int32() for x in MET.split(", ")]
+    for at_place, at_piece in met:
+        n = len(at_piece if at_place is None else at_place)
+        columns = {"sweep": pa.array(np.full(n, sweep)), "part": pa.array(np.full(n, part)), "at": pa.array(np.arange(n))}
+        columns |= {c: pa.nulls(n, pa.int64()) if at_place is None else pa.array(places[c][at_place]) for c in OF_PLACE}
+        columns |= {c: pa.nulls(n, pa.int64()) if at_piece is None else whole.column(c).take(pa.array(at_piece)) for c in OF_PIECE}
+        yield from pa.table([columns[c].cast(k) for c, k in zip(names, kinds, strict=True)], names).combine_chunks().to_batches()
+
+
 def meet(pieces: DataFrame, places: DataFrame, number: int, ranges: int) -> DataFrame:
     """One sweep's table, as MET: pieces (OF_PIECE) and places (OF_PLACE) in one descending order, matched in each range."""
-    size = pieces.withColumns({"_size": F.col("length"), "_kind": F.lit(1), **{c: F.lit(None).cast("long") for c in OF_PLACE}})
-    both = size.unionByName(places.withColumns({"_size": F.col("gap"), "_kind": F.lit(0), "tie": F.col("sequence_id"), "row": F.col("place").cast("long")}), allowMissingColumns=True)
-    order = [F.desc("_size"), F.col("_kind"), F.col("tie"), F.col("row")]
-    ranged = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select(*OF_PLACE, *OF_PIECE)
-    kinds = [pa.int64() if x.split()[1] == "long" else pa.int32() for x in MET.split(", ")]
+    order = [F.coalesce("gap", "length").desc(), F.col("gap").isNull(), F.coalesce("tie", "sequence_id"), F.coalesce(F.col("row"), F.col("place"))]
+    ranged = joined(pieces, places).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches) if (batches := list(batches)) else None
-        if whole is None or not whole.num_rows:
-            return
-        opens = whole.column("gap").is_valid().to_numpy()
-        place, piece, no_place, no_piece = brackets(opens)
-        part = TaskContext.get().partitionId()
-        for at_place, at_piece in ((place, piece), (None, no_place), (no_piece, None)):
-            n = len(at_piece if at_place is None else at_place)
-            taken = {c: whole.column(c).take(pa.array(at)) if at is not None else pa.nulls(n, pa.int64()) for at, names in ((at_place, OF_PLACE), (at_piece, OF_PIECE)) for c in names}
-            columns = {"sweep": np.full(n, number), "part": np.full(n, part), "at": np.arange(n), **taken}
-            names = [x.split()[0] for x in MET.split(", ")]
-            arrays = ((columns[c] if not isinstance(columns[c], np.ndarray) else pa.array(columns[c])).cast(k) for c, k in zip(names, kinds, strict=True))
-            yield from pa.table(list(arrays), names).combine_chunks().to_batches()
+        if batches := list(batches):
+            whole = pa.Table.from_batches(batches)
+            place, piece, no_place, no_piece = brackets(whole.column("gap").is_valid().to_numpy())
+            held = {c: whole.column(c).fill_null(0).to_numpy() for c in OF_PLACE}
+            yield from records(whole, held, [(place, piece), (None, no_place), (no_piece, None)], number, TaskContext.get().partitionId())
 
     return written(in_arrow(ranged, run, MET), f"sweep-{number}")
 
 
+def sweeps_of_a_range(length: np.ndarray, tie: np.ndarray, row: np.ndarray, sequence: np.ndarray, gap: np.ndarray, opened: int, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All sweeps of a class whose pieces and gaps are one range, where no sweep has to wait for other tasks: sequence and place of
+    each piece (places ascend from sweep to sweep), and all sequences with their gaps before the first sweep."""
+    first = sequence, gap
+    gap, of, at = gap.copy(), np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+    left, number = np.lexsort([row, tie, -length]), 0
+    while len(left):
+        size = length[left]
+        least, most = int(size[-1]), int(size[0])
+        offered = np.flatnonzero(gap >= least)
+        if not len(offered):
+            more = len(left) if 2 * least > capacity else -(-int(size.sum()) // capacity)
+            sequence, gap = np.append(sequence, np.arange(opened, opened + more)), np.append(gap, np.full(more, capacity))
+            first, opened = (sequence, np.append(first[1], np.full(more, capacity))), opened + more
+            continue
+        offered = offered[np.lexsort([sequence[offered], -gap[offered]])]
+        n = np.maximum(1, gap[offered] // most)
+        owner = np.repeat(offered, n)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        order = np.lexsort([np.concatenate([np.zeros(len(owner), int), np.ones(len(left), int)]), -np.concatenate([gap[owner], size])])
+        opens = order < len(owner)
+        where, who, _, _ = brackets(opens)
+        where, who = order[where], order[who] - len(owner)
+        of[left[who]], at[left[who]] = sequence[owner[where]], number * (capacity + 1) + place[where]
+        gap -= np.bincount(owner[where], weights=size[who], minlength=len(gap)).astype(np.int64)
+        keep = np.ones(len(left), bool)
+        keep[who] = False
+        left, number = left[keep], number + 1
+    return of, at, *first
+
+
+def finish(pieces: DataFrame, gaps: DataFrame, number: int, opened: int, capacity: int) -> DataFrame:
+    """The same table for all sweeps of a class that is one range: every piece at its place, and the gaps that took none."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if batches := list(batches):
+            whole = pa.Table.from_batches(batches)
+            is_gap = whole.column("gap").is_valid().to_numpy()
+            docs, held = np.flatnonzero(~is_gap), whole.filter(pa.array(is_gap))
+            column = lambda c: whole.column(c).fill_null(0).to_numpy()[docs]
+            of, at, sequence, gap = sweeps_of_a_range(column("length"), column("tie"), column("row"), held.column("sequence_id").to_numpy(), held.column("gap").to_numpy(), opened, capacity)
+            by = np.argsort(sequence)
+            took = by[np.searchsorted(sequence, of, sorter=by)]
+            idle = np.setdiff1d(np.arange(len(sequence)), took)
+            yield from records(whole, {"sequence_id": of, "place": at, "gap": gap[took]}, [(np.arange(len(docs)), docs)], number, 0)
+            yield from records(whole, {"sequence_id": sequence[idle], "place": np.zeros(len(idle), np.int64), "gap": gap[idle]}, [(np.arange(len(idle)), None)], number, 0)
+
+    return written(in_arrow(joined(pieces, gaps.withColumn("place", F.lit(0))).coalesce(1), run, MET), f"sweep-{number}")
+
+
 def figures(met: DataFrame, *by, **also) -> DataFrame:
     """Number, least, greatest and total length of the open pieces of a table like MET."""
     length = F.when(F.col("sequence_id").isNull(), F.col("length"))
@@ -190,16 +248,27 @@ def swept(pieces: DataFrame, capacity: int, range_rows: int) -> list[DataFrame]:
     spark, names = pieces.sparkSession, [x.split()[0] for x in MET.split(", ")]
     grade = F.floor(F.log2(F.lit(float(capacity)) / F.col("length"))).cast("int")  # class 0: more than half of the capacity
     classes = sorted(figures(pieces.withColumn("sequence_id", F.lit(None)), grade.alias("grade")).collect(), key=lambda c: c.grade)  # as many rows as the capacity has bits
-    gaps, largest, opened, free, number, placed = spark.createDataFrame([], "sequence_id long, gap long"), 0, 0, 0, 0, []
+    gaps, largest, opened, done, number, placed = spark.createDataFrame([], "sequence_id long, gap long"), 0, 0, 0, 0, []
     for known in classes:
         docs, now = pieces.where(F.col("length").between(known.least, known.most)), known
         while now.n:
+            if now.n + opened <= range_rows:
+                met = finish(docs, gaps.where(F.col("gap") >= now.least), number, opened, capacity)
+                placed.append(met.where("row is not null"))
+                full = met.groupBy("sequence_id").agg((F.max("gap") - F.coalesce(F.sum("length"), F.lit(0))).alias("gap")).where("gap > 0")
+                seen, old = Observation(), gaps
+                gaps = written(gaps.where(F.col("gap") < now.least).union(full).observe(seen, F.max("gap").alias("largest")), f"gaps-{number}")
+                opened = max(opened, 1 + met.agg(F.max("sequence_id").alias("last")).first().last)
+                largest, number, done = seen.get["largest"] or 0, number + 1, done + now.ids
+                dropped(old)
+                break
             if largest < now.least:
                 more = now.n if known.grade == 0 else -(-now.ids // capacity)
                 gaps = gaps.union(spark.range(opened, opened + more).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap")))
-                opened, free, largest = opened + more, free + more * capacity, capacity
+                opened, largest = opened + more, capacity
             offered = gaps.where(F.col("gap") >= now.least).withColumn("_last", (F.greatest(F.lit(1).cast("long"), F.expr(f"gap div {now.most}")) - 1).cast("int"))
             places = offered.select("sequence_id", F.explode(F.sequence(F.lit(0), "_last")).alias("place"), "gap")
+            free = opened * capacity - done
             met = meet(docs, places, number, -(-(now.n + min(free // now.least, opened + free // now.most)) // range_rows))
             docs, touched = met.where("sequence_id is null"), met.where("sequence_id is not null").select("sequence_id", "gap", "length")
             placed.append(met.where("sequence_id is not null and row is not null"))
@@ -216,7 +285,7 @@ def swept(pieces: DataFrame, capacity: int, range_rows: int) -> list[DataFrame]:
                 ranges = figures(docs).collect()
             docs, before, least = docs.select(*OF_PIECE), now.ids, now.least
             now = Row(n=sum(r.n for r in ranges), least=min((r.least for r in ranges if r.n), default=0), most=max((r.most for r in ranges if r.n), default=0), ids=sum(r.ids for r in ranges if r.n))
-            free -= before - now.ids
+            done += before - now.ids
             rest = touched.groupBy("sequence_id").agg((F.max("gap") - F.coalesce(F.sum("length"), F.lit(0))).alias("gap"))
             # Gaps that were smaller than all open pieces of this class wait for the next ones.
             seen, old = Observation(), gaps
@@ -227,7 +296,7 @@ def swept(pieces: DataFrame, capacity: int, range_rows: int) -> list[DataFrame]:
     return placed
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = 100_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, range_rows: int = 1_000_000) -> DataFrame:
     """pieces (PIECES' columns, a table) with sequence_id and offset. range_rows: about how many pieces and places a task of a
     sweep matches."""
     n = pieces.count()
