@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from bandweave.operators.routing import MatrixScheme
 from bandweave.plans.spec import BandJoinSpec, parse_arguments
 from bandweave.sources import kafka, records
 from bandweave.streaming.band_join import report_latency, stream_band_join
@@ -49,7 +50,7 @@ def main(argv: Sequence[str]) -> None:
     spec, r_copies, s_copies = parse_arguments(argv)
     spark = SparkSession.builder.appName("bandweave").config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider").getOrCreate()
     r, s = (kafka.read_text(spark, own.servers, t) for t in (kafka.TOPIC_R, kafka.TOPIC_S))
-    rows = joined(r, s, spec, cells=(s_copies, r_copies))
+    rows = joined(r, s, spec, cells=MatrixScheme(r_copies=r_copies, s_copies=s_copies).cells())
     query = printed(rows, own.checkpoint) if own.print else report_latency(rows, "ingest_ms", to_topic(own.servers), own.checkpoint)
     query.awaitTermination()
 

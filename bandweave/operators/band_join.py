@@ -68,18 +68,32 @@ def keyed(r: DataFrame, s: DataFrame, spec: BandJoinSpec, strategy: str, cells:
     return r, s, keys
 
 
-def band_join(r: DataFrame, s: DataFrame, spec: BandJoinSpec, strategy: str = "auto", cells: tuple[int, int] | None = None) -> DataFrame:
+def balanced_cells(r: DataFrame, s: DataFrame, spec: BandJoinSpec, bucket_rows: int = 100_000) -> tuple[int, int]:
+    """Cells that leave about so many rows of either side in the largest band bucket and cell, by a count of the buckets."""
+    largest = []
+    for df, key in ((r, spec.r_key), (s, spec.s_key)):
+        counts = df.groupBy(bucket(F.col(key), spec.width or 1.0).alias("_band")).count()
+        largest.append(counts.agg(F.max("count").alias("n")).first().n or 0)
+    rows, cols = (max(1, -(-n // bucket_rows)) for n in largest)
+    return rows, cols
+
+
+def band_join(r: DataFrame, s: DataFrame, spec: BandJoinSpec, strategy: str = "auto", cells: tuple[int, int] | None = None, range_rows: int = 100_000) -> DataFrame:
     """Rows (r struct, s struct, r_key, s_key, r_ts, s_ts, probe_ts), probe_ts the later of the two times.
 
     cells: rows and columns of the matrix; with another strategy, a salt for skewed buckets (R is hashed over the rows and
-    copied to the columns, S the other way round). Rows with a null key or time join nothing."""
+    copied to the columns, S the other way round). range_rows: the strategy `range` is a nested loop with one side sent to all
+    tasks, so it is refused where both have more rows than that. Rows with a null key or time join nothing."""
     chosen = spec.strategy(strategy)
     cells = cells or ((4, 2) if chosen == "matrix" else (1, 1))
     left = _side(r, "r", spec.r_key, spec.r_ts).where("r_key is not null and r_ts is not null")
     right = _side(s, "s", spec.s_key, spec.s_ts).where("s_key is not null and s_ts is not null")
     condition = band_condition(spec) & time_condition(spec)
     if chosen == "range":
-        found = left.join(right, condition)
+        small = [side.limit(range_rows + 1).count() <= range_rows for side in (left, right)]
+        if not any(small):
+            raise ValueError(f"range: neither side has {range_rows} rows or less; use grid")
+        found = left.join(F.broadcast(right), condition) if small[1] else F.broadcast(left).join(right, condition)
     else:
         left, right, keys = keyed(left, right, spec, chosen, cells)
         right = right.withColumnsRenamed({k: f"_s{k}" for k in keys})

@@ -34,6 +34,10 @@ class MatrixScheme:
         """Nodes, copies and first worker of a stream's store."""
         return (self.r_nodes, self.r_copies, 0) if side == "R" else (self.s_nodes, self.s_copies, self.r_nodes)
 
+    def cells(self) -> tuple[int, int]:
+        """Rows and columns for band_join(cells=...): R is copied to every column, S to every row."""
+        return self.s_copies, self.r_copies
+
 
 def tagged_union(r: DataFrame, s: DataFrame) -> DataFrame:
     """Both streams as one, with their side; columns by name."""
@@ -55,10 +59,15 @@ def by_node(routed: DataFrame, scheme: MatrixScheme) -> DataFrame:
     return routed.repartitionById(scheme.r_nodes + scheme.s_nodes, F.col("node").cast("int"))
 
 
-def with_serial(df: DataFrame, order: str, router: Column, modulus: int | None = None) -> DataFrame:
-    """The serial number of each tuple at its router and side, from 1, optionally modulo."""
-    number = F.row_number().over(Window.partitionBy("side", "router").orderBy(order)).cast("long")
-    return df.withColumn("router", router).withColumn("serial", number if modulus is None else number % modulus)
+def with_serial(df: DataFrame, order: str, router: Column, modulus: int | None = None, width: int = 1 << 20) -> DataFrame:
+    """The serial number of each tuple at its router and side, from 1, optionally modulo; order is a column of numbers. Tuples are
+    numbered within runs of `width` of these, on top of the counts of the runs before, so no task sorts all of a router."""
+    parted = df.withColumn("router", router).withColumn("_run", F.floor(F.col(order) / F.lit(width)))
+    key = ["side", "router", "_run"]
+    before = Window.partitionBy("side", "router").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = parted.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    number = (F.col("_before") + F.row_number().over(Window.partitionBy(*key).orderBy(order))).cast("long")
+    return parted.join(runs, key).withColumn("serial", number if modulus is None else number % modulus).select(*df.columns, "router", "serial")
 
 
 def _nodes(scheme: MatrixScheme, side: str, store: bool, base: bool) -> Column:

@@ -71,6 +71,5 @@ class Controller:
         return min([now, *(w.probe_copies(self.now_ms) for w in mine if w.new > w.old)])
 
     def cells(self) -> tuple[int, int]:
-        """Rows and columns for band_join(cells=...): each stream is dealt to its groups and copied to the other's."""
-        s = self.scheme
-        return s.r_nodes // s.r_copies, s.s_nodes // s.s_copies
+        """Rows and columns of the present scheme for band_join(cells=...)."""
+        return self.scheme.cells()

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandweave.operators import metrics, routing, store
-from bandweave.operators.band_join import band_join
-from bandweave.plans.copies import plan_copies_column
+from bandweave.operators.band_join import balanced_cells, band_join
+from bandweave.plans.copies import legacy_copies_column, plan_copies_column
 from bandweave.plans.spec import BandJoinSpec
 from bandweave.sources import records
 from bandweave.streaming.band_join import run_once, stream_band_join
@@ -124,7 +124,8 @@ PAIR_SQL = "r.l_orderkey as r_orderkey, r.l_linenumber as r_linenumber, s.l_orde
 
 def lineitem_pairs(r: DataFrame, s: DataFrame, half_band: float) -> DataFrame:
     """Lines joined on their key alone: all have the same time."""
-    joined = band_join(r.withColumn("ts_ms", F.lit(0)), s.withColumn("ts_ms", F.lit(0)), BandJoinSpec(surpass=half_band, behind=half_band), "band_bucket")
+    spec = BandJoinSpec(surpass=half_band, behind=half_band)
+    joined = band_join(r.withColumn("ts_ms", F.lit(0)), s.withColumn("ts_ms", F.lit(0)), spec, "band_bucket", balanced_cells(r, s, spec))
     return joined.select(*(F.col(f"{side}.l_{c}").alias(f"{side}_{c}") for side in "rs" for c in ("orderkey", "linenumber")))
 
 
@@ -308,6 +309,29 @@ def copy_planner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures.select("hour", "copies", planned.alias("planned"))
 
 
+@registered(f"""with f as (select ts_ms // 3600000 as hour, count(*) as n from ({TAGGED}) group by 1), g as (select *, cast(1 << cast(hour % 6 as integer) as integer) as copies from f)
+select hour, copies, cast(least(32, greatest(1, case when n > 60 then copies // 2 when n < 20 then copies * 2 else copies end)) as integer) as planned from g""")
+def legacy_planner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older policy by hour: a worker of over 60 tuples counts as overloaded, one of under 20 as idle."""
+    hour = F.floor(F.col("ts_ms") / 3_600_000).cast("long")
+    figures = tagged_events(spark, sf_dir).groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.expr("shiftleft(1, cast(hour % 6 as int))"))
+    return figures.select("hour", "copies", legacy_copies_column(F.col("copies"), routing.R_NODES, F.col("n") > 60, F.col("n") < 20).alias("planned"))
+
+
+@registered(f"select node, cast(sum(n) as bigint) as tuples from (select cast(case when side = 'R' then serial % 8 * 4 + i else 32 + serial % 4 * 8 + i end as integer) as node, 1 as n from ({SERIAL}), range(8) t(i) where side = 'S' or i < 4) group by 1")
+def dealt_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many tuples the partition of each worker holds, counted inside the partitions."""
+    routed = routing.by_node(routing.store_partitions(numbered_events(spark, sf_dir), SCHEME), SCHEME)
+    return routed.groupBy(F.spark_partition_id().alias("node")).agg(F.count(F.lit(1)).alias("tuples"))
+
+
+@registered(f"select key, count(*) as n, 1 as routers from ({TAGGED}) group by 1")
+def dealt_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routers that see a key: one."""
+    routed = routing.by_key(tagged_events(spark, sf_dir)).withColumn("router", F.spark_partition_id())
+    return routed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("router").cast("int").alias("routers"))
+
+
 # Stored tuples -------------------------------------------------------------------------------------------------
 
 CLICKS = EVENTS.format(key="value", kind="click")

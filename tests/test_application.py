@@ -42,7 +42,7 @@ def test_controller():
     assert (c.step(Figures(1000, 1000)).s_copies, c.scheme.r_copies) == (4, 1)  # down at once, up after 25 votes
     for _ in range(25):
         c.step(Figures(1000, 1000))
-    assert c.scheme.r_copies == 2 and c.probe_copies("R") == 1 and c.cells() == (16, 8)
+    assert c.scheme.r_copies == 2 and c.probe_copies("R") == 1 and c.cells() == (4, 2)
     c.now_ms += 720_000
     assert c.probe_copies("R") == 2
     assert c.step(Figures(0, 5)) == c.scheme

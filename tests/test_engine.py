@@ -126,6 +126,26 @@ def test_hysteresis():
     assert [h.step(2, 4), *(h.step(1, 4) for _ in range(4))] == [(2, 4)] * 4 + [(1, 4)]
 
 
+@pytest.mark.parametrize(("votes", "rides"), [(20, False), (21, True)])
+def test_s_rides_along_by_the_votes_of_earlier_periods(votes, rides):
+    h = Hysteresis(4, 4)
+    seen = [h.step(8, 8 if i >= 25 - votes else 4) for i in range(26)]
+    assert seen[24] == (4, 4) and seen[25] == (8, 8 if rides else 4)
+    h = Hysteresis(4, 4)  # the other way round this period's vote counts
+    seen = [h.step(8 if i >= 25 - votes + 1 else 4, 8) for i in range(26)]
+    assert seen[25] == (8 if rides else 4, 8)
+
+
+def test_copies_of_a_scheme_are_those_of_the_join(spark):
+    from bandweave.operators.band_join import keyed
+    from bandweave.plans.spec import BandJoinSpec
+
+    scheme = routing.MatrixScheme(r_copies=2, s_copies=8)
+    side = lambda n: spark.createDataFrame([(("a",), 1.0, 0)], f"{n} struct<x: string>, {n}_key double, {n}_ts long")
+    r, s, _ = keyed(side("r"), side("s"), BandJoinSpec(), "band_bucket", scheme.cells())
+    assert (r.count(), s.count()) == (2, 8)
+
+
 def test_older_policy_and_widening():
     assert [legacy_copies(4, 32, True), legacy_copies(1, 32, True), legacy_copies(32, 32, False, True), legacy_copies(4, 32, False)] == [2, 1, 32, 4]
     w = Widening(2, 4, 1000)
