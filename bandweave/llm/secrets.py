@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Beginnings of key formats (fixed values).
@@ -55,21 +55,23 @@ FEATURES = ("length", "variety", "dictionary", *SHARES, *MOVES, *FLAGS)
 
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """(doc_id, start, value, before, after, path) of all candidates of docs (doc_id, text, path); start counts code points
-    from 0."""
+    from 0. The text is cut at its candidates, so their places are sums of lengths; sums go by runs of 256, and the words around are
+    taken from the nearest cuts, so the work grows with the text and no text is copied for its candidates."""
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("_found")).where(F.size("_found") > 0)
-    # The next place of each value after the end of the one before.
-    empty = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
-
-    def place(state: Column, value: Column) -> Column:
-        at = F.call_function("locate", value, F.col("text"), state["next"])
-        return F.struct((at + F.length(value)).alias("next"), F.array_append(state["at"], at).alias("at"))
-
-    placed = found.withColumn("_at", F.aggregate("_found", empty, place, lambda s: s["at"]))
-    one = placed.select("doc_id", "text", "path", F.explode(F.arrays_zip("_at", "_found")).alias("_c")).select("doc_id", "text", "path", F.col("_c._at").alias("_at"), F.col("_c._found").alias("_raw"))
-    quote = F.when(F.col("_raw").rlike("^[\"']"), 1).otherwise(0)
-    one = one.withColumn("_at", F.col("_at") + quote).withColumn("value", F.expr("substring(_raw, 1 + if(_raw rlike '^[\"\\']', 1, 0))"))
-    low = F.greatest(F.lit(1), F.col("_at") - 48)
-    return one.select("doc_id", (F.col("_at") - 1).cast("long").alias("start"), "value", F.substring("text", low, F.col("_at") - low).alias("before"), F.substring("text", F.col("_at") + F.length("value"), F.lit(24)).alias("after"), "path")
+    cut = found.select("doc_id", "path", "_found", F.split("text", CANDIDATE, -1).alias("_rest"), F.sequence(F.lit(0), F.size("_found") - 1).alias("_i"))
+    # What lies between the beginnings of a candidate and the one before it, and as text, the last 48 and first 24 characters.
+    steps = "transform(_i, i -> cast(length(_rest[i]) + if(i > 0, length(_found[greatest(i - 1, 0)]), 0) as bigint))"
+    left = "transform(_i, i -> concat(if(i > 0, right(_found[greatest(i - 1, 0)], 48), ''), right(_rest[i], 48)))"
+    right = "transform(_i, i -> concat(left(_rest[i + 1], 24), if(i + 1 < size(_found), left(_found[least(i + 1, size(_found) - 1)], 24), '')))"
+    cut = cut.selectExpr("doc_id", "path", "_found", "_i", f"{steps} as _steps", f"{left} as _left", f"{right} as _right")
+    cut = cut.withColumn("_runs", F.expr("transform(sequence(0, (size(_i) - 1) div 256), r -> aggregate(slice(_steps, cast(r * 256 + 1 as int), 256), 0L, (x, y) -> x + y))"))
+    cut = cut.withColumn("_begin", F.expr("transform(sequence(0, size(_runs) - 1), r -> aggregate(slice(_runs, 1, r), 0L, (x, y) -> x + y))"))
+    # A candidate has 6 characters or more, so 8 cuts before it and 4 after it reach far enough.
+    each = F.expr("""transform(_i, i -> struct(
+        _begin[i div 256] + aggregate(slice(_steps, cast(i div 256 * 256 + 1 as int), i % 256 + 1), 0L, (x, y) -> x + y) as at, _found[i] as raw,
+        right(array_join(slice(_left, greatest(i - 8, 0) + 1, least(i, 8) + 1), ''), 48) as before, left(array_join(slice(_right, i + 1, 5), ''), 24) as after))""")
+    one = cut.select("doc_id", "path", F.explode(each).alias("c")).select("doc_id", "path", "c.*").withColumn("quote", F.regexp_extract("raw", "^[\"']?", 0))
+    return one.select("doc_id", (F.col("at") + F.length("quote")).alias("start"), F.expr("substring(raw, 1 + length(quote))").alias("value"), F.expr("right(concat(before, quote), 48)").alias("before"), "after", "path")
 
 
 def described(findings: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from bandweave.llm import secrets as S
@@ -69,3 +70,30 @@ def test_every_positive_template_is_a_candidate(documents, spark):
     rows = S.labelled_findings(spark, 2800).where("label = 1").collect()
     got = {(r.doc_id, r.start, r.value) for r in S.candidates(documents([(i, r.before + r.value + r.after) for i, r in enumerate(rows)])).collect()}
     assert [r for i, r in enumerate(rows) if (i, len(r.before), r.value) not in got] == []
+
+
+def test_places_and_words_around(documents):
+    """Against the text itself: every candidate stands where it is said to, also where its value occurs before, and close ones see
+    each other."""
+    rng = random.Random(3)
+    key = "ab12CD34ef56GH78ij90"
+    texts = [f"zz.{key} is a path; token = \"{key}\"", f"é日😀 {key} {key}={key}:{key} 'x' {key}"]
+    texts += [" ".join(rng.choice(["é😀", "token=abc123!x", "password: 'hunter2xyz'", "k" * 16 + str(rng.randrange(10**6)), "a", "AKIA" + "Q7" * 8, ".", "secret=1234567"]) for _ in range(rng.randrange(1, 700))) for _ in range(12)]
+    rows = S.candidates(documents(list(enumerate(texts)))).collect()
+    by_text = {}
+    for r in rows:
+        t, end = texts[r.doc_id], r.start + len(r.value)
+        assert t[r.start : end] == r.value and r.before == t[max(0, r.start - 48) : r.start] and r.after == t[end : end + 24]
+        by_text.setdefault(r.doc_id, []).append((r.start, end))
+    for spans in by_text.values():
+        assert all(a[1] <= b[0] for a, b in zip(sorted(spans), sorted(spans)[1:], strict=False))
+    assert (texts[0].rindex(key), texts[0].rindex(key) + len(key)) in by_text[0] and max(map(len, by_text.values())) > 256
+
+
+def test_thousands_of_candidates_in_a_text(documents):
+    import time
+
+    text = " ".join(f"token=value{i:06}x" for i in range(20_000))
+    began = time.perf_counter()
+    assert S.candidates(documents([(1, text)])).count() == 20_000
+    assert time.perf_counter() - began < 60
