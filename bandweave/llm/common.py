@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -37,6 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, *figures: Column) -> tuple[DataFrame, tuple]:
+    """written(), with the number of rows and other aggregates of them, taken as the table is written."""
+    seen = Observation()
+    rows = [F.count(F.lit(1)), *figures]
+    out = written(df.observe(seen, *(x.alias(f"f{i}") for i, x in enumerate(rows))), name)
+    return out, tuple(seen.get[f"f{i}"] for i in range(len(rows)))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -15,7 +15,7 @@
    in blocks of nodes of like set size, of which two that can hold links meet in one task. Blocks of the cluster's largest
    component don't meet each other, so a group of copies costs its size times what is left over, not its square. A
    task gives back no more than a spanning forest of its links, which is all that components need.
-4. Components of all links, by distributed star steps; each document gets its node's.
+4. Components of all links, by distributed star steps over the components of the links to pivots; each document gets its node's.
 
 Cases: ASCII letters are lower-cased first. A text with fewer words than a shingle has its whole sequence as its
 one shingle; null, empty and wordless texts have none and are linked with nothing. Rows that repeat a doc_id
@@ -34,8 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandweave.llm import words as W
-from bandweave.llm.common import dropped, in_arrow, map_arrow, written
-from bandweave.llm.components import components
+from bandweave.llm.common import counted, dropped, in_arrow, map_arrow, written
+from bandweave.llm.components import components, merged
 
 U64, U32 = np.uint64, np.uint32
 
@@ -138,8 +138,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 def met(many: DataFrame, one: DataFrame, key: str, hot: int, broadcast_rows: int) -> DataFrame:
     """many join one, which has a row for each key. Keys of more than `hot` rows are dealt to parts by the hash of the node, and their
     row of `one` is copied to these; there are no more such keys than rows / hot."""
-    heavy = written(many.groupBy(key).count().where(F.col("count") > hot).select(key, F.ceil(F.col("count") / hot).cast("int").alias("_parts")), "heavy")
-    n = heavy.count()
+    heavy, (n,) = counted(many.groupBy(key).count().where(F.col("count") > hot).select(key, F.ceil(F.col("count") / hot).cast("int").alias("_parts")), "heavy")
     if not n:
         return many.join(one, key)
     heavy = F.broadcast(heavy) if n <= broadcast_rows else heavy
@@ -290,20 +289,19 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
     banded = member.where("node = doc_id").select(F.explode("bands").alias("band"), "node")
     shared = banded.groupBy("band").agg(F.min("node").alias("_min"), F.max("node").alias("_max")).where("_min <> _max").select("band")
     buckets = written(banded.join(shared, "band").distinct(), "buckets")
-    wanted = written(buckets.select(F.col("node").alias("doc_id")).distinct(), "candidates")
-    few = wanted.count() <= broadcast_rows
-    chosen = texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    wanted, (n,) = counted(buckets.select(F.col("node").alias("doc_id")).distinct(), "candidates")
+    chosen = texts.join(F.broadcast(wanted) if n <= broadcast_rows else wanted, "doc_id", "left_semi")
     sets = shingle_sets(chosen, width).groupBy("node").agg(F.min(F.struct("n", "set")).alias("_set")).select("node", "_set.n", "_set.set")
     sets = written(sets, "sets")
     used = [buckets, wanted, sets]
     edges, linked = clustered(buckets, sets, percent, near, rounds, hot, broadcast_rows, used)
-    roots, parts = components(edges), components(linked)
+    both = components(edges.withColumn("linked", F.lit(False)).union(linked.withColumn("linked", F.lit(True))), "linked")
+    roots, parts = (both.where(F.col("linked") == x).drop("linked") for x in (False, True))
     whole = roots.select("node", F.col("root").alias("cluster")).union(roots.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct())
     clusters = written(whole.join(parts, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("part")), "clusters")
     more = links(clusters, sets, percent, block, block_shingles, used)
-    joined = parts.select(F.col("root").alias("a"), F.col("node").alias("b"))  # the links to pivots, as stars
-    found = components(joined.union(more)).withColumnRenamed("root", "_root")
-    for table in (*used, roots, parts, clusters):  # the result is read from signs, copies and found
+    found = merged(parts, more).withColumnRenamed("root", "_root")
+    for table in (*used, clusters):  # the result is read from signs, copies and the components
         dropped(table)
     component = F.coalesce("_root", "node")
     out = member.select("doc_id", "n", "node").join(found, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
@@ -314,11 +312,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, rows:
 def deduplicated(docs: DataFrame, *, broadcast_rows: int = 200_000, **options) -> DataFrame:
     """One row of docs, all columns, for each group of near duplicates: that of the smallest doc_id; and all rows without one."""
     found = written(near_duplicates(docs, broadcast_rows=broadcast_rows, **options).where("doc_id is not null"), "near-duplicates")
-    sized = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_rows else ids
-    repeated = written(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    out = docs.join(sized(written(found.where("not kept").select("doc_id").distinct(), "dropped")), "doc_id", "left_anti")
-    if not repeated.isEmpty():
-        repeated = sized(repeated)
+    sized = lambda ids, n: F.broadcast(ids) if n <= broadcast_rows else ids
+    repeated, (n,) = counted(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    gone, (of,) = counted(found.where("not kept").select("doc_id").distinct(), "dropped")
+    out = docs.join(sized(gone, of), "doc_id", "left_anti")
+    if n:
+        repeated = sized(repeated, n)
         out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.select(*docs.columns)
 

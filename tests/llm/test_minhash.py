@@ -7,7 +7,7 @@ import pytest
 
 from bandweave.llm import minhash as M
 from bandweave.llm import words as W
-from bandweave.llm.components import components
+from bandweave.llm.components import components, merged
 
 
 def shingle_set(text, width):
@@ -131,6 +131,15 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in root if find(i) != i}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # Two graphs together, one of them a part of the other; and the rest of its edges added later.
+    table = spark.createDataFrame([(x, a, b) for i, (a, b) in enumerate(edges) for x in ("all", "half")[: 1 + i % 2]], "which string, a long, b long")
+    both = components(table, "which")
+    half = both.where("which = 'half'").drop("which")
+    assert {r.node: r.root for r in both.where("which = 'all'").collect()} == got
+    assert {r.node: r.root for r in half.collect()} == {r.node: r.root for r in components(table.where("which = 'half'").drop("which")).collect()}
+    later = merged(half, spark.createDataFrame(edges[::2], "a long, b long")).collect()
+    assert {r.node: r.root for r in later} == got and len(later) == len(got)
+    assert merged(half, spark.createDataFrame([], "a long, b long")).count() == half.count()
 
 
 def test_rows_without_id(documents):
