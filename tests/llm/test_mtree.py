@@ -122,3 +122,29 @@ def test_sql(spark):
     con.executemany("insert into embeddings values (?, ?)", [r[:2] for r in rows])
     want = con.execute(f"select query_id, rank, vec_id, score from ({M.ORACLE})").fetchall()
     assert sorted(tuple(r) for r in M.search(df).collect()) == sorted(want)
+
+
+def test_vectors_of_queries_go_once_to_sibling_pages(spark):
+    """What a descent makes, which a task holds: the vectors of a block once for up to 32 pages of a node, not for each page."""
+    rows = clustered(600, 32, 4)
+    tree = tree_of(spark, rows, fanout=64)
+    queries = tree.pages.where("vec_id % 3 = 0").select("row", M.F.col("vec_id").alias("query_id"), "v").withColumn("floor", M.F.lit(None).cast("long"))
+    blocks = tree.descend(M.at_root(queries, tree.dims, False, 50), 50, 1, None)
+    pages, asked = tree.pages.select("node").distinct().count(), blocks.select("node").distinct().count()
+    made = blocks.agg(M.F.sum(M.F.length("v"))).first()[0]
+    assert asked == pages > 30  # all are open without a floor
+    assert made < 200 * 8 * 32 * pages / 4
+
+
+@pytest.mark.parametrize("size", [0.1, 100, 1e4, 1e6])
+def test_small_blocks_and_large_components(spark, size):
+    """Whatever a step may make, and whatever type holds the vectors."""
+    rng = np.random.default_rng(int(size))
+    rows = [(i, (size * rng.normal(size=3)).astype(np.float32).tolist()) for i in range(250)]
+    ints = [[math.floor(64 * x) for x in v] for _, v in rows]
+    want = []
+    for q in range(0, 250, 20):
+        score = sorted((-sum(a * b for a, b in zip(ints[q], ints[i], strict=True)), i) for i in range(250) if i != q)[:7]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(score)]
+    got = M.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=7, page_rows=6, fanout=40, made_bytes=20_000, group_bytes=1000)
+    assert sorted(tuple(r) for r in got.collect()) == want
