@@ -3,10 +3,13 @@
 import math
 import random
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from bandweave.operators.band_join import band_join
 from bandweave.plans.spec import BandJoinSpec, parse_arguments
+from bandweave.queries import lineitem_pairs
 from bandweave.streaming.band_join import run_once, stream_band_join
 
 SCHEMA = "id long, key double, ts_ms long"
@@ -88,6 +91,24 @@ def test_plan_has_no_nested_loop(spark):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_larger_side_is_streamed(spark, tmp_path):
+    """A line of S comes with all its partners in a bucket in one run, so files hold few values of S and short repeats of R's."""
+    lines = spark.range(20_000).selectExpr("id as l_orderkey", "cast(id % 7 as int) as l_linenumber", "cast(xxhash64(id) % 10 as double) as key").where("key is not null")
+    small, large = lines.where("l_orderkey % 40 = 0"), lines.where("l_orderkey % 40 > 30")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lineitem_pairs(small, large, 1).write.parquet(str(tmp_path / "pairs"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    pairs = runs = 0
+    for f in (tmp_path / "pairs").glob("part-*"):
+        s = pq.read_table(f).column("s_orderkey").to_numpy()
+        pairs, runs = pairs + len(s), runs + (np.diff(s) != 0).sum() + 1
+    assert pairs > 100_000 and runs <= 2 * large.count() + 4
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("part-*")) < pairs
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(5)
     # A stream's watermark starts at 1970, so the times must be later.
