@@ -1,6 +1,6 @@
 """The windowed band join as DataFrame plans.
 
-Catalyst has no range join: a pure inequality becomes a nested loop. So all strategies but `range` add equality keys
+Catalyst has no range join: a pure inequality becomes a nested loop. So all strategies but `range` (with a small side) add equality keys
 that every matching pair has in common exactly once, and leave the exact predicate to the join's condition:
 
 - band_bucket: R is in the bucket of its key, S in the two or three that its band covers;
@@ -83,7 +83,8 @@ def band_join(r: DataFrame, s: DataFrame, spec: BandJoinSpec, strategy: str = "a
 
     cells: rows and columns of the matrix; with another strategy, a salt for skewed buckets (R is hashed over the rows and
     copied to the columns, S the other way round). range_rows: the strategy `range` is a nested loop with one side sent to all
-    tasks, so it is refused where both have more rows than that. streamed: the side whose rows come one after another, each with all its
+    tasks; where both have more rows than that, time is cut into ranges as wide as the window, R is in one, S in those that its window
+    meets, and each range is a loop of its own. streamed: the side whose rows come one after another, each with all its
     partners in a bucket, while a bucket of the other is held; of the larger side, a result of many pairs repeats short runs of partners,
     which files store in a fraction. Rows with a null key or time join nothing."""
     if streamed not in ("r", "s"):
@@ -96,7 +97,8 @@ def band_join(r: DataFrame, s: DataFrame, spec: BandJoinSpec, strategy: str = "a
     if chosen == "range":
         small = [side.limit(range_rows + 1).count() <= range_rows for side in (left, right)]
         if not any(small):
-            raise ValueError(f"range: neither side has {range_rows} rows or less; use grid")
+            chosen = "time_bucket"
+    if chosen == "range":
         found = left.join(F.broadcast(right), condition) if small[1] else F.broadcast(left).join(right, condition)
     else:
         left, right, keys = keyed(left, right, spec, chosen, cells)

@@ -82,7 +82,7 @@ def band_join_half_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(pairs_sql("value", band_sql(10, 10)))
 def band_join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plain inequality join, for small sides."""
+    """The plain inequality join; in ranges of time where neither side is small."""
     return event_pairs(spark, sf_dir, BandJoinSpec(surpass=10, behind=10), "range")
 
 

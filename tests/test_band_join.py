@@ -56,6 +56,17 @@ def test_strategies_equal_a_nested_loop(spark, strategy):
         assert got(found) == brute(r, s, spec), (strategy, spec)
 
 
+def test_range_without_a_small_side(spark):
+    """Ranges of time, each a loop of its own: nothing is refused, lost or met twice."""
+    rng = random.Random(11)
+    for spec in SPECS:
+        r, s = rows(rng, 60) + [(90, None, 3), (91, 1.0, None)], rows(rng, 50)
+        r += r[:3]
+        found = band_join(spark.createDataFrame(r, SCHEMA), spark.createDataFrame(s, SCHEMA), spec, "range", range_rows=20)
+        assert got(found) == brute(r, s, spec), spec
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_salted_buckets(spark):
     rng = random.Random(3)
     r, s, spec = rows(rng, 50, keys=(1.0,)), rows(rng, 50, keys=(1.0, 1.5)), SPECS[1]
